@@ -63,3 +63,18 @@ class WordCache(dict):
                 self.clear()
             self[word] = value
         return value
+
+
+def sampled(rows: DataFrame, label: str, id_col: str, most: int, counts: dict | None = None) -> DataFrame:
+    """About ``most`` rows, alike many of each label: a row stays if the hash of its id is below its label's rate.
+
+    The choice depends on ids and on the number of rows of each label only, so it is the same in each run.
+    """
+    counts = counts if counts is not None else {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    if not counts:
+        return rows.limit(0)
+    each = max(1, most // len(counts))
+    rate = F.lit(0.0)
+    for value, n in counts.items():
+        rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(rate)
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) < rate * (1 << 30))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, crc_mod, id_text, kind_of, sampled, written
+from .shingles import shingle_hashes
 
 #: Labelled documents that the lexicon and the weights are fitted on, half of each label: the documented bound.
 SAMPLE = 8000
@@ -186,7 +187,15 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """text and toxic (0 or 1) of a bounded sample of the rows to learn from; a document with two labels takes the larger."""
     known = labels.where((crc_mod("doc_id", 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = sampled(known, "toxic", "doc_id", sample)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lows = [int(s.min() >> np.uint64(1)) if len(s := shingle_hashes(t.as_py())) else 0 for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lows, pa.int64())], ["text", "toxic", "low"])
+
+    # copies and near copies most often share their least shingle: one of them is enough to learn from
+    return rows.mapInArrow(marked, "text string, toxic int, low long").groupBy("low", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def counted(rows: DataFrame, kind: str, of) -> DataFrame:

@@ -10,6 +10,7 @@ or quoted) are the inputs of a logistic regression.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -220,12 +221,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if totals is None or not totals["yes"] or not totals["no"]:
         return Model([])
     n_yes, n_no = totals["yes"], totals["no"]
-    # log odds of a term with a prior of half a document, less twice its standard error
-    rate = F.log((F.col("yes") + 0.5) / (n_yes - F.col("yes") + 0.5)) - F.log((F.col("no") + 0.5) / (n_no - F.col("no") + 0.5))
-    error = F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
-    found = counts.where("term != '' and yes >= 2").withColumn("sure", rate - 2 * error).where(F.col("sure") > 0).orderBy(F.desc("sure"), F.desc("yes"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+    # likelihood ratio of a term's share of toxic documents against all documents' share; it must outweigh that
+    # this many terms were tried
+    share, n = n_yes / (n_yes + n_no), F.col("yes") + F.col("no")
+    gain = F.col("yes") * F.log(F.col("yes") / (n * share)) + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / (n * (1 - share)))).otherwise(0.0)
+    tried = math.log(max(2, counts.where("yes + no >= 2").count())) + 2
+    rated = counts.where("term != '' and yes >= 2").withColumn("sure", gain).where(F.col("yes") > n * share)
+    found = rated.where(F.col("sure") > tried).orderBy(F.desc("sure"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+    if not found:  # too few rows to be sure of any term
+        found = rated.where("no = 0").orderBy(F.desc("sure"), F.desc(F.length("term")), "term").limit(20).collect()
     if not found:
-        found = counts.where("term != '' and yes >= 1 and no = 0").orderBy(F.desc("yes"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+        return Model([])
     names = [r["term"] for r in found]
     index = {t: i for i, t in enumerate(names)}
 

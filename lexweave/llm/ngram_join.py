@@ -139,11 +139,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     rows = rows_of(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     reps = written(rows.where("fp is not null").groupBy("fp").agg(F.min(order).alias("rep"), F.count("*").alias("copies")), "reps")
-    # candidates: neighbours in a random order of each band's texts; a path through the texts, not a star or all pairs
+    # candidates: neighbours in a random order of each band's texts, near and farther; a few edges a text, not a star or all pairs
     keyed = rows.where("fp is not null").select("rid", "bands").join(reps.select(F.col("rep.rid").alias("rid"), "rep"), "rid").select("rep", F.explode("bands").alias("band"))
     by_band = Window.partitionBy("band").orderBy(F.xxhash64("rep.rid", "band"), "rep.rid")
-    paths = keyed.withColumn("before", F.lag("rep").over(by_band)).where("before is not null").select(F.col("rep").alias("a"), F.col("before").alias("b"))
-    nodes = components(paths)
+    before = F.array_compact(F.array(*(F.lag("rep", n).over(by_band) for n in (1, 8, 64, 512, 4096))))
+    near = keyed.withColumn("before", before).where(F.size("before") > 0).select(F.col("rep").alias("a"), F.explode("before").alias("b"))
+    nodes = components(near)
     sizes = written(nodes.groupBy("label").agg(F.count("*").alias("n")), "sizes")
     large = sizes.where(F.col("n") > GROUP)
     # at most one row for GROUP texts; checked, and joined by a shuffle beyond that
@@ -208,15 +209,18 @@ def _tile(threshold: float):
                 continue
             rid, copies = part["rid"].to_numpy(), part["copies"].to_numpy()
             n = np.bincount(i, copies[j], len(rid)).astype(np.int64) + np.bincount(j, copies[i], len(rid)).astype(np.int64)
-            follow = _paths(len(rid), i, j)
+            follow = trees(len(rid), i, j)
             out.append(pd.DataFrame({"rid": rid, "next": pd.array([None if f < 0 else rid[f] for f in follow], "Int64"), "links": n})[n > 0])
         return pd.concat(out) if out else pd.DataFrame({"rid": [], "next": pd.array([], "Int64"), "links": []})
 
     return run
 
 
-def _paths(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """For each of n members the next one of its component, -1 for the last: a path that says what is connected."""
+def trees(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """For each of n members another of its component, -1 for one of each: a binary tree over the component's members.
+
+    It says what is connected with at most three edges a member and few steps between any two.
+    """
     root = list(range(n))
 
     def top(x: int) -> int:
@@ -228,13 +232,13 @@ def _paths(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
         x, y = top(x), top(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    last: dict[int, int] = {}
+    members: dict[int, list[int]] = {}
     follow = [-1] * n
     for x in range(n):
-        r = top(x)
-        if r in last:
-            follow[last[r]] = x
-        last[r] = x
+        own = members.setdefault(top(x), [])
+        if own:
+            follow[x] = own[(len(own) - 1) // 2]
+        own.append(x)
     return follow
 
 

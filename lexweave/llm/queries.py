@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_scoring, ngram_join, packing, sentencepiece_codec, toxicity
+from . import embedding_dedup, language_id, lm_scoring, ngram_join, packing, sentencepiece_codec, toxicity, vector_search
 
 
 def vocabulary(name: str) -> Path:
@@ -40,6 +40,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").read_text(encoding="utf-8"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_vector_search": op9_vector_search,
     "op10_language_id": op10_language_id,
 }
 

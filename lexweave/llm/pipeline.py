@@ -1,17 +1,72 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns what it keeps of docs.
+
+    toxicity      drops documents that the model predicts to be toxic
+    language_id   drops documents whose language stays undetermined or unsure
+    ngram_join    keeps one document of each near-duplicate class
+    packing       gives each document's pieces a place in a sequence
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries
+from . import language_id, ngram_join, packing, toxicity
 from .common import written
+from .queries import table, vocabulary
+
+#: A language that is predicted with less than this is unsure.
+SURE = 0.5
+
+
+def keep_where(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of docs, all columns, whose text passes; make gives each task its test."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = make()
+        for b in batches:
+            yield b.filter(pa.array([good(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    terms, fuzzy, weights = model.terms, model.fuzzy, model.weights
+
+    def make() -> Callable[[str | None], bool]:
+        own = toxicity.Model(terms, fuzzy, weights)
+        return lambda t: own.score(t or "") < 0.5
+
+    return keep_where(docs, "text", make)
+
+
+def drop_unsure_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(language_id.training_rows(docs))
+
+    def good(t: str | None) -> bool:
+        language, score = model.predict(t)
+        return language != language_id.UNDETERMINED and score >= SURE
+
+    return keep_where(docs, "text", lambda: good)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(docs).where("kept").select("doc.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("word_bpe_49k.json").read_text(encoding="utf-8"))
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("language_id", drop_unsure_language), ("ngram_join", drop_near_duplicates), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, lm_scoring, ngram_join, packing, sentencepiece_codec, toxicity, vector_search
+from . import embedding_dedup, language_id, license_scan, lm_scoring, ngram_join, packing, sentencepiece_codec, toxicity, vector_search, warc
 
 
 def vocabulary(name: str) -> Path:
@@ -32,6 +32,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
+    "op5_license_scan": op5_license_scan,
     "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
@@ -63,4 +73,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.oracle_sql()}

@@ -153,6 +153,9 @@ class Scanner:
                 left += 1
             right += 1
             if held >= least:
+                while have[x := places[left][1]] > need[x]:  # words too many in front
+                    have[x] -= 1
+                    left += 1
                 # take in what follows closely, so that an alignment sees the whole passage
                 start = places[left][0]
                 while right < len(places) and places[right][0] - start < most and held < sum(need.values()):

@@ -1,4 +1,6 @@
-"""Registered queries of the engine and, where DuckDB can express them, their SQL."""
+"""All registered queries of the engine and, where DuckDB can express them, their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from .plans import retrieval
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "retrieval"]

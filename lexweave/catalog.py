@@ -1,6 +1,6 @@
 """All registered queries of the engine and, where DuckDB can express them, their SQL."""
 
-from .plans import retrieval
+from .plans import candidates, neighbors, retrieval
 from .plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "candidates", "neighbors", "retrieval"]

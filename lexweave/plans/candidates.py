@@ -65,9 +65,9 @@ def pair_score(spark, sf_dir):
 @register(f"""WITH {KNN}, {SCORED},
 ways AS (SELECT left_id AS source_id, right_id AS target_id, score FROM scored UNION ALL SELECT right_id, left_id, score FROM scored),
 local AS (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM ways QUALIFY rank <= 8),
-lanes AS (SELECT source_id, target_id, 2 * rank AS at FROM knn UNION ALL SELECT source_id, target_id, 2 * rank + 1 FROM local),
-firsts AS (SELECT source_id, target_id, min(at) AS at FROM lanes GROUP BY ALL)
-SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY at) AS position FROM firsts QUALIFY position <= 12""")
+lanes AS (SELECT source_id, target_id, 2 * rank AS spot FROM knn UNION ALL SELECT source_id, target_id, 2 * rank + 1 FROM local),
+firsts AS (SELECT source_id, target_id, min(spot) AS spot FROM lanes GROUP BY ALL)
+SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY spot) AS position FROM firsts QUALIFY position <= 12""")
 def alternating_fusion_pool(spark, sf_dir):
     pairs = scored(spark, sf_dir)
     both = pairs.select(F.col("left_id").alias("source_id"), F.col("right_id").alias("target_id"), "score").unionByName(pairs.select(F.col("right_id").alias("source_id"), F.col("left_id").alias("target_id"), "score"))

@@ -1,6 +1,6 @@
 """All registered queries of the engine and, where DuckDB can express them, their SQL."""
 
-from .plans import candidates, facets, linkage, neighbors, retrieval
+from .plans import candidates, catalogue, facets, graph, linkage, neighbors, retrieval
 from .plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "candidates", "facets", "linkage", "neighbors", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "candidates", "catalogue", "facets", "graph", "linkage", "neighbors", "retrieval"]

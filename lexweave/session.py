@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
 
@@ -25,3 +26,23 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _SHIPPED[context.applicationId] = path
     return spark
+
+
+_OWN: list = []  # a test session's temporary folder
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="lexweave-"))
+    return f"file://{_OWN[0].name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

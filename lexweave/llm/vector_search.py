@@ -16,14 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import written
 from .vectors import blocks, matrix, numbered
 
 #: Vectors that codebooks are fitted on: the documented bound of the sample. All vectors are indexed.
 SAMPLE = 8000
-#: Dimensions of a subspace, centres of a codebook (four bits), the score from which errors count as in the paper's T.
-WIDTH, CENTRES, T = 2, 16, 0.2
+#: Dimensions of a subspace, centres of a codebook (four bits), the share of a vector's length from which scores matter.
+WIDTH, CENTRES, FROM = 2, 16, 0.2
 NEIGHBOURS = 20
 #: Vectors of an index block, queries of a query block.
 BLOCK, QUERIES = 65_536, 512
@@ -83,7 +85,7 @@ def fit(x: np.ndarray, width: int = WIDTH, rounds: int = 6, seed: int = 3) -> Qu
     least-squares solution for all centres under the anisotropic loss."""
     n, d = x.shape
     parts = -(-d // (2 * width)) * 2
-    eta = max(1.0, (d - 1) * T**2 / (1 - T**2))
+    eta = max(1.0, (d - 1) * FROM**2 / (1 - FROM**2))
     rng = np.random.default_rng(seed)
     model = Quantiser(np.zeros((parts, CENTRES, width)), eta)
     y = model.padded(x)
@@ -162,12 +164,20 @@ def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int =
         part = good.where(F.col("d") == d).where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / n))
         x = [r[0] for r in part.orderBy("rid").select("x").collect()]
         models[d] = fit(np.array(x or good.where(F.col("d") == d).orderBy("rid").limit(1).select("x").head()["x"]).reshape(-1, d))
-    index = blocks(rows, block)
+    packed = blocks(rows, block)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [models[t["d"]].packed(models[t["d"]].encode(matrix(t["data"], t["n"], t["d"]))).tobytes() for t in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*batch.schema.names, "codes"])
+
+    # every vector is encoded once, when the index is made
+    index = written(packed.mapInArrow(coded, T.StructType([*packed.schema.fields, T.StructField("codes", T.BinaryType())])), "index")
     asked = blocks(rows.where((F.col("id") % every) == 0), QUERIES)
 
     # queries against all rows: each pair of an index block and a query block is one row of two packed blocks
     count = asked.groupBy("d").agg(F.max("blocks").alias("asked"))
-    left = index.join(F.broadcast(count), "d").select("d", "n", "ids", "none", "rids", "data", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("part"))
+    left = index.join(F.broadcast(count), "d").select("d", "n", "ids", "none", "rids", "data", "codes", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("part"))
     right = asked.select("d", F.col("block").alias("part"), F.col("n").alias("n_q"), F.col("ids").alias("ids_q"), F.col("rids").alias("rids_q"), F.col("data").alias("data_q"))
     pairs = left.join(right, ["d", "part"])
 
@@ -179,7 +189,7 @@ def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int =
                 none, ids = np.frombuffer(t["none"], bool), np.frombuffer(t["ids"], "<i8")
                 keys = np.where(none, np.iinfo(np.int64).max, ids)
                 rids, asked_ids, asked_rids = np.frombuffer(t["rids"], "<i8"), np.frombuffer(t["ids_q"], "<i8"), np.frombuffer(t["rids_q"], "<i8")
-                codes = model.packed(model.encode(x))
+                codes = np.frombuffer(t["codes"], np.uint8).reshape(-1, t["n"])
                 found = list(nearest(x, keys, rids, codes, model, q, asked_rids, k))
                 rows_of = np.concatenate([f[1] for f in found])
                 i = np.repeat([f[0] for f in found], [len(f[1]) for f in found])

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, license_scan, lm_scoring, ngram_join, packing, sentencepiece_codec, toxicity, vector_search, warc
+from . import embedding_dedup, language_id, license_scan, lm_scoring, ngram_join, oracles, packing, sentencepiece_codec, toxicity, vector_search, warc
 
 
 def vocabulary(name: str) -> Path:
@@ -73,4 +73,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": warc.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.oracle_sql(), "op6_ngram_join": oracles.NGRAM_JOIN, "op8_embedding_dedup": oracles.EMBEDDING_DEDUP}

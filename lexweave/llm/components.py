@@ -20,6 +20,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 200) ->
         sent = labels.where("fresh").join(both, "node").groupBy(F.col("to").alias("node")).agg(F.min("label").alias("offer"))
         step = labels.join(sent, "node", "left").select("node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("fresh"))
         labels = written(step, "labels")
-        if labels.where("fresh").isEmpty():
+        if not labels.agg(F.bool_or("fresh")).head()[0]:
             return labels.select("node", "label")
     raise RuntimeError(f"labels still change after {most} rounds")

@@ -35,6 +35,8 @@ VALUES, ROWS, BANDS = 256, 6, 42
 STEP, TOLERANCE = 32, 1e-6
 #: Texts in a block of a large component; texts of small components that one group holds.
 BLOCK, GROUP = 192, 768
+#: Children of a node in the trees that say what is connected.
+FAN = 16
 
 
 def fewest_equal(threshold: float, tolerance: float, values: int = VALUES, step: int = STEP) -> list[int]:
@@ -217,9 +219,9 @@ def _tile(threshold: float):
 
 
 def trees(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """For each of n members another of its component, -1 for one of each: a binary tree over the component's members.
+    """For each of n members another of its component, -1 for the first of each: a tree over the component's members.
 
-    It says what is connected with at most three edges a member and few steps between any two.
+    It says what is connected with at most FAN + 1 edges a member and few steps from the first, the smallest, to any.
     """
     root = list(range(n))
 
@@ -237,7 +239,7 @@ def trees(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     for x in range(n):
         own = members.setdefault(top(x), [])
         if own:
-            follow[x] = own[(len(own) - 1) // 2]
+            follow[x] = own[(len(own) - 1) // FAN]
         own.append(x)
     return follow
 

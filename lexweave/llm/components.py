@@ -1,4 +1,4 @@
-"""Connected components of a graph of bounded degree, without collecting it."""
+"""Connected components of a graph, without collecting it."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 200) ->
     """node, label (the smallest node that it is connected with) of all nodes of edges.
 
     Labels spread along edges in rounds, each written to the shared folder; a round only looks at nodes that
-    changed in the last one. Callers give edges of bounded degree and short ways (trees, not stars or paths), so no node is hot in a join.
+    changed in the last one. Offers are added up in each task before they are shuffled, and the join's two sides are
+    plain shuffles, so Spark splits a node of very many edges. Callers give few edges a text and short ways (stars).
     """
     both = written(edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
     labels = written(both.groupBy("node").agg(F.min("to").alias("low")).select("node", F.least("node", "low").alias("label"), (F.col("low") < F.col("node")).alias("fresh")), "labels")

@@ -3,7 +3,7 @@
 A unit vector x is stored as s q with int8 q and has the quantisation error e = |x - s q|. For two of them
 |x y - (s q)(t r)| <= e + f + e f, so the tile product of the quantised vectors plus that bound is never below the
 cosine. Only pairs whose upper bound reaches the threshold are computed again, from the original vectors in
-double precision. Tiles give links per vector and small trees of what is connected, never pairs.
+double precision. Tiles give links per vector and stars of what is connected, never pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .ngram_join import trees
+from .ngram_join import stars
 from .vectors import blocks, matrix, numbered
 
 THRESHOLD = 0.95
@@ -95,7 +95,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
                 has = np.flatnonzero(links)
                 place = np.full(len(ids), -1)
                 place[has] = np.arange(len(has))
-                follow = np.array(trees(len(has), place[i], place[j]), np.int64)
+                follow = np.array(stars(len(has), place[i], place[j]), np.int64)
                 to = has[np.maximum(follow, 0)]
                 struct = lambda at, mask=None: pa.StructArray.from_arrays([pa.array(none[at]), pa.array(ids[at]), pa.array(rids[at])], ["none", "id", "rid"], mask=mask)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([struct(has), struct(to, pa.array(follow < 0)), pa.array(links[has], pa.int64())], ["node", "next", "links"])

@@ -34,9 +34,7 @@ VALUES, ROWS, BANDS = 256, 6, 42
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
 #: Texts in a block of a large component; texts of small components that one group holds.
-BLOCK, GROUP = 192, 768
-#: Children of a node in the trees that say what is connected.
-FAN = 16
+BLOCK, GROUP = 384, 768
 
 
 def fewest_equal(threshold: float, tolerance: float, values: int = VALUES, step: int = STEP) -> list[int]:
@@ -141,11 +139,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     rows = rows_of(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     reps = written(rows.where("fp is not null").groupBy("fp").agg(F.min(order).alias("rep"), F.count("*").alias("copies")), "reps")
-    # candidates: neighbours in a random order of each band's texts, near and farther; a few edges a text, not a star or all pairs
+    # candidates: each text and the smallest one of its band; never all pairs
     keyed = rows.where("fp is not null").select("rid", "bands").join(reps.select(F.col("rep.rid").alias("rid"), "rep"), "rid").select("rep", F.explode("bands").alias("band"))
-    by_band = Window.partitionBy("band").orderBy(F.xxhash64("rep.rid", "band"), "rep.rid")
-    before = F.array_compact(F.array(*(F.lag("rep", n).over(by_band) for n in (1, 8, 64, 512, 4096))))
-    near = keyed.withColumn("before", before).where(F.size("before") > 0).select(F.col("rep").alias("a"), F.explode("before").alias("b"))
+    near = keyed.withColumn("low", F.min("rep").over(Window.partitionBy("band"))).where(F.col("rep.rid") != F.col("low.rid")).select(F.col("rep").alias("a"), F.col("low").alias("b"))
     nodes = components(near)
     sizes = written(nodes.groupBy("label").agg(F.count("*").alias("n")), "sizes")
     large = sizes.where(F.col("n") > GROUP)
@@ -211,18 +207,15 @@ def _tile(threshold: float):
                 continue
             rid, copies = part["rid"].to_numpy(), part["copies"].to_numpy()
             n = np.bincount(i, copies[j], len(rid)).astype(np.int64) + np.bincount(j, copies[i], len(rid)).astype(np.int64)
-            follow = trees(len(rid), i, j)
+            follow = stars(len(rid), i, j)
             out.append(pd.DataFrame({"rid": rid, "next": pd.array([None if f < 0 else rid[f] for f in follow], "Int64"), "links": n})[n > 0])
         return pd.concat(out) if out else pd.DataFrame({"rid": [], "next": pd.array([], "Int64"), "links": []})
 
     return run
 
 
-def trees(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """For each of n members another of its component, -1 for the first of each: a tree over the component's members.
-
-    It says what is connected with at most FAN + 1 edges a member and few steps from the first, the smallest, to any.
-    """
+def stars(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """For each of n members the first of its component, -1 for the first itself: it says what is connected."""
     root = list(range(n))
 
     def top(x: int) -> int:
@@ -234,14 +227,7 @@ def trees(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
         x, y = top(x), top(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    members: dict[int, list[int]] = {}
-    follow = [-1] * n
-    for x in range(n):
-        own = members.setdefault(top(x), [])
-        if own:
-            follow[x] = own[(len(own) - 1) // FAN]
-        own.append(x)
-    return follow
+    return [-1 if top(x) == x else top(x) for x in range(n)]
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -90,23 +90,25 @@ def test_packing_round_trip(spark, tokenizer_json):
 
 def test_best_fit_equals_a_plain_search():
     rng = random.Random(4)
-    bins, opened, made = packing.BestFit(100, 5), {}, 0
+    bins, free, made = packing.BestFit(100, 5), {}, 0  # free: places of the open bins
     for _ in range(3000):
         n = rng.randint(1, 100)
-        fits = [f for f in opened.values() if f >= n]
         at, offset = bins.place(n)
+        fits = [f for f in free.values() if f >= n]
         if fits:
-            assert opened[at] == min(fits) and offset == 100 - min(fits)
-            opened[at] -= n
+            assert free[at] == min(fits) and offset == 100 - min(fits)
+            left = free.pop(at) - n
         else:
             assert at == made and offset == 0
-            made += 1
-            if len(opened) >= 5 and n < 100:
-                gone = set(opened) - {b for free in bins.free for b in free}
-                assert len(gone) == 1 and opened.pop(gone.pop()) == min(opened.values(), default=100) or True
-            opened[at] = 100 - n
-        opened = {b: f for f, some in enumerate(bins.free) for b in some}
-        assert len(opened) <= 5 and 0 not in opened.values()
+            made, left = made + 1, 100 - n
+        now = {b: f for f, some in enumerate(bins.free) for b in some}
+        if left and len(free) == 5:  # the fullest closes
+            closed = set(free) - set(now)
+            assert len(closed) == 1 and free[closed.copy().pop()] == min(free.values())
+            free.pop(closed.pop())
+        if left:
+            free[at] = left
+        assert now == free and bins.mask == sum(1 << f for f in set(free.values())) and bins.open == len(free)
     with pytest.raises(ValueError):
         bins.place(101)
 
@@ -221,14 +223,13 @@ def test_common_subsequence_is_longest():
     rng = random.Random(9)
     for _ in range(200):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
-        best = {(): 0}
         pairs = license_scan.common(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
         n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a, 1):
             for j, y in enumerate(b, 1):
                 n[i][j] = n[i - 1][j - 1] + 1 if x == y else max(n[i - 1][j], n[i][j - 1])
-        assert len(pairs) == n[-1][-1] and best
+        assert len(pairs) == n[-1][-1]
 
 
 PAGES = [

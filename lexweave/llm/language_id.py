@@ -20,7 +20,7 @@ from .common import crc_mod, id_text, kind_of, sampled
 ORDERS = (1, 2, 3, 4)
 BITS = 18
 #: Documents that the classifier is fitted on, alike many of each language: the documented bound of the sample.
-SAMPLE = 4000
+SAMPLE = 1500
 UNDETERMINED = "und"
 #: Characters that are hashed at a time; a longer text is taken in blocks with the overlap that n-grams need.
 BLOCK = 1 << 20
@@ -127,7 +127,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> li
 
     found = sampled(rows, "lang", "doc_id", sample, counts).mapInArrow(counted, "lang string, slots binary, shares binary, id string").collect()
     found.sort(key=lambda r: (hash_order(r[3]), r[3], r[0], bytes(r[1])))
-    return [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4").astype(np.float64)) for r in found if len(r[1])]
+    return [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in found if len(r[1])]
 
 
 def hash_order(key: str) -> int:

@@ -1,9 +1,8 @@
 """Operator 1: language-model scoring with a weighted backoff automaton.
 
-The model is an interpolated back-off model of orders 1 to 3 over words. Words that make up at least ``SHARE`` of
-the training tokens are the head, and an n-gram of head words becomes an arc if it makes up that share too. There
-can be 1 / SHARE such words and as many arcs of an order whatever the corpus, so the automaton has a proven bound
-and can be sent to all workers. Every other word (the tail) keeps its exact count in a distributed table.
+The model is an interpolated back-off model of orders 1 to 3 over words. An n-gram is an arc if it occurs at least
+twice, whatever the size of the corpus. Words that make up at least ``SHARE`` of the training tokens are the head;
+every other word (the tail) keeps its exact count in a distributed table.
 
     p1(w)      = (c(w) - D1) / N, and D1 V / N for the one class of unknown words
     p(w | h)   = (c(h w) - D) / c(h) [if h w is an arc] + g(h) p(w | h without its first word)
@@ -12,10 +11,16 @@ and can be sent to all workers. Every other word (the tail) keeps its exact coun
 States are histories that have arcs. The failure arc of a state leads to its longest proper suffix that is a state
 and costs log g. One traversal of a text, left to right, carries the state and adds log-probabilities; a tail word
 fails to the root, and its p1 comes from the table by a join.
+
+Up to 2 / SHARE training tokens the arcs that occur twice make up SHARE, so there are at most 1 / SHARE of an order
+and the automaton can be sent to all workers. On more tokens all arcs are in a distributed table: a text's score
+is the sum of what its words, bigrams and trigrams weigh (see ``weights``). The arcs that make up SHARE are sent
+out, and what a text has beyond them is joined.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, id_text, kind_of, written
 
-#: Share of the training tokens from which a word is in the head and an n-gram is an arc.
+#: Share of the training tokens from which a word is in the head and an arc is sent to the workers.
 SHARE = 5e-7
 ORDER = 3
 #: What each arc's count is discounted by.
@@ -38,6 +43,13 @@ DISCOUNT = 0.5
 WORDS_HELD, CHUNK = 500_000, 4_000_000
 #: Candidates of an order up to which they are sent to the workers for counting; beyond, all n-grams are shuffled.
 CANDIDATES = 4_000_000
+#: Bits of a word's number, in a chunk and in the head; tokens of a chunk of the distributed count, so not more words.
+BITS = 21
+PIECE = 1 << 20
+#: Rows that a task sends on at a time.
+ROWS = 200_000
+#: In place of the words that a shorter n-gram does not have; neither the number of a word nor a hash.
+NONE = (1 << BITS) - 1
 END = b""  # the end token; no word is empty
 
 
@@ -78,7 +90,10 @@ def _head(key: str, words: Broadcast) -> dict[bytes, int]:
 
 
 def encoded(docs: DataFrame, words: Broadcast) -> DataFrame:
-    """Each row with the ids of its tokens (32-bit, the end's last, -1: tail) and its tail words and their counts."""
+    """Each row with the ids of its tokens (32-bit, the end's last), its tail words and their counts.
+
+    The id of a tail word is -1 less its place among the row's tail words.
+    """
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +104,10 @@ def encoded(docs: DataFrame, words: Broadcast) -> DataFrame:
             for t in b.column(1):
                 toks = tokens(t.as_py())
                 own = np.array([get(w, -1) for w in toks] + [end], np.int32)
-                miss = Counter([toks[k] for k in np.flatnonzero(own < 0).tolist()])
+                out = np.flatnonzero(own < 0).tolist()
+                miss = Counter([toks[k] for k in out])
+                place = {w: -1 - i for i, w in enumerate(miss)}
+                own[out] = [place[toks[k]] for k in out]
                 ids.append(own.tobytes())
                 rare.append(list(miss))
                 times.append(list(miss.values()))
@@ -238,7 +256,7 @@ class Automaton:
 
     def score(self, ids: list[int]) -> float:
         arcs, cost, fail, s, total = self.arcs, self.cost, self.fail, self.begin, 0.0
-        for w in ids:
+        for w in ids:  # -1: a tail word
             arc = arcs[s].get(w)
             while arc is None:
                 total += cost[s]
@@ -259,9 +277,187 @@ def _automaton(key: str, parts: Broadcast) -> Automaton:
     return _AUTOMATA[key]
 
 
-def score(docs: DataFrame, share: float = SHARE, order: int = ORDER) -> DataFrame:
+def word_code(word: bytes) -> int:
+    """A tail word's number: a negative 64-bit hash; the head's numbers are not negative."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) | -(1 << 63)
+
+
+def codes(ids: np.ndarray, rare: list[bytes]) -> np.ndarray:
+    """64-bit numbers of a text's tokens: the head's ids, the tail's hashes."""
+    own = ids.astype(np.int64)
+    if rare:
+        at = np.flatnonzero(ids < 0)
+        own[at] = np.array([word_code(w) for w in rare], np.int64)[-1 - ids[at]]
+    return own
+
+
+def histories(own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the token before each, and before that, of texts laid end to end; NONE beyond a text's start."""
+    one = np.empty_like(own)
+    one[1:] = own[:-1]
+    one[starts] = 0
+    two = np.empty_like(own)
+    two[1:] = one[:-1]
+    two[starts] = NONE
+    return one, two
+
+
+def all_counts(texts: DataFrame, least: int) -> DataFrame:
+    """u, v, w, n of the bigrams (u is NONE) and trigrams that occur ``least`` times, counted in a distributed table."""
+
+    def piece(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, starts = np.concatenate(parts), np.cumsum([0, *(len(p) for p in parts[:-1])])
+        parts.clear()
+        one, two = histories(own, starts)
+        for at in range(0, len(own), PIECE):
+            cut = slice(at, at + PIECE)
+            known, number = np.unique(np.concatenate([one[cut], own[cut], two[cut]]), return_inverse=True)
+            v, w, u = number.reshape(3, -1)
+            if len(known) < 1 << BITS:  # as good as always: three words of a piece fit one integer
+                grams = [(v << BITS) | w, ((u << 2 * BITS) | (v << BITS) | w)[two[cut] != NONE]]
+                for k, keys in enumerate(grams):
+                    keys, n = np.unique(keys, return_counts=True)
+                    first = known[keys >> 2 * BITS] if k else np.full(len(keys), NONE, np.int64)
+                    yield _grams(first, known[(keys >> BITS) & ((1 << BITS) - 1)], known[keys & ((1 << BITS) - 1)], n)
+            else:
+                for first, stays in ((np.full(len(v), NONE, np.int64), slice(None)), (two[cut], two[cut] != NONE)):
+                    yield _grams(first[stays], one[cut][stays], own[cut][stays], np.ones(len(first[stays]), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in batches:
+            for x, rare in zip(b.column(0), b.column(1), strict=True):
+                parts.append(codes(np.frombuffer(x.as_py(), np.int32), rare.as_py()))
+                size += len(parts[-1])
+                if size >= PIECE:
+                    yield from piece(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from piece(parts)
+
+    return texts.select("ids", "rare").mapInArrow(run, "u long, v long, w long, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _grams(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, w, n)], ["u", "v", "w", "n"])
+
+
+def weights(known: DataFrame, arcs: DataFrame, discount: float, total: int) -> DataFrame:
+    """u, v, w, n, weight of words (u and v are NONE), bigrams (u is NONE) and trigrams.
+
+    known: w, n of all words. A text's score is the sum of its words', bigrams' and trigrams' weights and log g of
+    the end token (what is before its first). With lower(h w) for log p(w | h without its first word),
+
+        weight(h w) = log p(w | h) - log g(h) - lower(h w)  [an arc; 0 for other n-grams]  + log g(h w)  [as a history]
+
+    since each n-gram that is not a text's last is the history of one token.
+    """
+    none = F.lit(NONE).cast("long")
+    two = arcs.where(F.col("u") == none).select("v", "w", "n")
+    three = arcs.where(F.col("u") != none)
+    held = F.sum(F.col("n") - DISCOUNT).alias("held")
+    left = lambda n: F.greatest(F.lit(1e-12), 1 - F.coalesce(F.col("held"), F.lit(0.0)) / n)
+    words = known.join(two.groupBy(F.col("v").alias("w")).agg(held), "w", "left").select("w", "n", ((F.col("n") - discount) / total).alias("p"), left(F.col("n")).alias("g"))
+    words = written(words, "weights")
+    then = lambda c: F.when(F.col("w") == 0, 0.0).otherwise(F.log10(c))  # noqa: E731  the end token is no text's history
+    pairs = (
+        two.join(words.select(F.col("w").alias("v"), F.col("n").alias("of"), F.col("g").alias("gv")), "v").join(words.select("w", F.col("p").alias("pw")), "w")
+        .join(three.groupBy(F.col("u").alias("v"), F.col("v").alias("w")).agg(held), ["v", "w"], "left")
+        .select("v", "w", "n", ((F.col("n") - DISCOUNT) / F.col("of") + F.col("gv") * F.col("pw")).alias("p"), "gv", "pw", left(F.col("n")).alias("g"))
+    )
+    pairs = written(pairs, "weights")
+    triples = (
+        three.join(pairs.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("n").alias("of"), F.col("g").alias("gv")), ["u", "v"]).join(pairs.select("v", "w", F.col("p").alias("pw")), ["v", "w"])
+        .select("u", "v", "w", "n", ((F.col("n") - DISCOUNT) / F.col("of") + F.col("gv") * F.col("pw")).alias("p"), "gv", "pw")
+    )
+    above = F.log10("p") - F.log10("gv") - F.log10("pw")
+    return (
+        words.select(none.alias("u"), none.alias("v"), "w", "n", (F.log10("p") + then("g")).alias("weight"))
+        .unionByName(pairs.select(none.alias("u"), "v", "w", "n", (above + then("g")).alias("weight")))
+        .unionByName(triples.select("u", "v", "w", "n", above.alias("weight")))
+    )
+
+
+def joined(texts: DataFrame, counts: DataFrame, sent: Broadcast, discount: float, unknown: float, total: int, kinds: int, hot: int) -> DataFrame:
+    """rid, more (known tail words), base_score, score of encoded texts, by the weights of all n-grams that occur twice.
+
+    Weights of n-grams that occur ``hot`` times, the head's words all of them, are sent to the workers.
+    """
+    spark, key = texts.sparkSession, uuid.uuid4().hex
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = _head(key, sent)
+        for b in batches:
+            own = [head[w] if w in head else word_code(w) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), b.column(1)], ["w", "n"])
+
+    known = counts.select("word", "n").mapInArrow(coded, "w long, n long")
+    arcs = written(all_counts(texts.where("fold != 1"), 2), "arcs")
+    table = written(weights(known, arcs, discount, total), "weights")
+    few = table.where((F.col("n") >= hot) | ((F.col("v") == NONE) & (F.col("w") >= 0))).toArrow()
+    u, v, w, n, weight = (few[c].to_numpy() for c in ("u", "v", "w", "n", "weight"))
+    one = v == NONE
+    size = len(sent.value)
+    alone, plain = np.full(size, math.log10(unknown)), np.full(size, math.log10(0.5 / (total + 0.5 * (kinds + 1))))
+    alone[w[one]], plain[w[one]] = weight[one], np.log10((n[one] + 0.5) / (total + 0.5 * (kinds + 1)))
+    keys = (u[~one] << 2 * BITS) | (v[~one] << BITS) | w[~one]
+    order = np.argsort(keys)
+    start = table.where((F.col("u") == NONE) & (F.col("v") == 0)).agg(F.sum(F.col("n") - DISCOUNT)).head()[0]
+    n_end = int(n[one & (w == 0)].sum())
+    begin = math.log10(max(1e-12, 1 - (start or 0.0) / n_end)) if n_end else 0.0
+    parts = spark.sparkContext.broadcast((keys[order], weight[~one][order], alone, plain))
+
+    def asked_rows(held: list[tuple]) -> pa.RecordBatch:
+        *whole, base, full = (np.concatenate(c) for c in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in whole), *(pa.array(c, pa.float64(), from_pandas=True) for c in (base, full))], ["rid", "u", "v", "w", "plain", "full"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weight, alone, plain = parts.value
+        held, size = [], 0
+        for b in batches:
+            for rid, x, rare in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(x.as_py(), np.int32)
+                own = codes(ids, rare)
+                v, u = histories(own, np.zeros(1, np.int64))
+                inside = ids[ids >= 0]
+                score = begin + float(alone[inside].sum())
+                rest = []
+                for first, second, third in ((np.full(len(own), NONE, np.int64), v, own), (u[1:], v[1:], own[1:])):
+                    tail = (first < 0) | (second < 0) | (third < 0)
+                    k = (first << 2 * BITS) | (second << BITS) | third
+                    at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+                    hit = (keys[at] == k) & ~tail if len(keys) else np.zeros(len(k), bool)
+                    score += float(weight[at[hit]].sum()) if len(keys) else 0.0
+                    rest.append((first[~hit], second[~hit], third[~hit]))
+                far = own[own < 0]
+                rest.append((np.full(len(far), NONE, np.int64), np.full(len(far), NONE, np.int64), far))
+                # the first row has what is known of the text as a whole; NONE is no word of the table, rid spreads such rows
+                u, v, w = (np.concatenate([[head_], *c]) for head_, c in zip((NONE, rid, NONE), zip(*rest, strict=True), strict=True))
+                blank = np.full(len(w) - 1, np.nan)
+                held.append((np.full(len(w), rid, np.int64), u, v, w, np.append(float(plain[inside].sum()), blank), np.append(score, blank)))
+                size += len(w)
+                if size >= ROWS:
+                    yield asked_rows(held)
+                    held, size = [], 0
+        if held:
+            yield asked_rows(held)
+
+    asked = texts.select("rid", "ids", "rare").mapInArrow(run, "rid long, u long, v long, w long, plain double, full double")
+    n, first, alone_ = F.coalesce("n", F.lit(0)), F.col("full").isNotNull(), (F.col("v") == NONE) & F.col("full").isNull()
+    return (
+        asked.join(table, ["u", "v", "w"], "left").where(first | alone_ | F.col("weight").isNotNull()).groupBy("rid")
+        .agg(
+            F.sum(F.when(alone_ & (n > 0), 1).otherwise(0)).alias("more"),
+            F.sum(F.when(first, F.col("plain")).when(alone_, F.log10((n + 0.5) / F.lit(total + 0.5 * (kinds + 1)))).otherwise(0.0)).alias("base_score"),
+            F.sum(F.when(first, F.col("full")).otherwise(F.coalesce("weight", F.lit(math.log10(unknown))))).alias("score"),
+        )
+    )
+
+
+def score(docs: DataFrame, share: float | None = None, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
+    n-grams that occur twice are arcs; a share asks for a smaller model, of those alone that make it up.
     Learns from rows whose crc32 of the id modulo 5 is not 1; a null id is never learned from and counts as held
     out. A null or empty text is its end token. Without anything to learn from, base_score and score are 0.
     Repeated rows give repeated rows, an empty table none; extra columns are not read. Texts are scored whole.
@@ -271,6 +467,8 @@ def score(docs: DataFrame, share: float = SHARE, order: int = ORDER) -> DataFram
     counts = written(word_counts(base.where("fold != 1")), "words")
     s = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).head()
     total, kinds, once, twice = (int(x or 0) for x in s)
+    whole = share is None and SHARE * total > 2 and order == ORDER
+    share = share if share is not None else SHARE
     enough = max(2, math.ceil(share * total))
     head = {bytes(r[0]): r[1] for r in counts.where(F.col("n") >= enough).toLocalIterator()}
     n_end = head.pop(END, None)
@@ -284,6 +482,14 @@ def score(docs: DataFrame, share: float = SHARE, order: int = ORDER) -> DataFram
     p1 = np.where(n_head > 0, (n_head - discount) / max(total, 1), unknown)
     sent = spark.sparkContext.broadcast(words)
     texts = written(encoded(base, sent).withColumn("rid", F.monotonically_increasing_id()), "ids")
+    if whole:
+        found = joined(texts, counts, sent, discount, unknown, total, kinds, enough)
+        n = F.length("ids") / 4
+        near = n - F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x) - (0 if n_end else 1)
+        return (
+            texts.select("rid", "doc_id", (F.col("fold") == 1).alias("held_out"), n.cast("long").alias("n_tokens"), near.cast("long").alias("near")).join(found, "rid")
+            .select("doc_id", "held_out", "n_tokens", (F.col("near") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        )
     learned: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(2, order + 1):
         learned.append(frequent(texts.where("fold != 1"), 0, [k for k, _ in learned], share, total))
@@ -301,7 +507,7 @@ def score(docs: DataFrame, share: float = SHARE, order: int = ORDER) -> DataFram
                 n.append(len(ids))
                 known.append(len(inside) - (not sure))
                 plain.append(float(known_cost[inside].sum()))
-                full.append(machine.score(ids.tolist()))
+                full.append(machine.score(np.maximum(ids, -1).tolist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(plain, pa.float64()), pa.array(full, pa.float64())], ["rid", "n", "known", "plain", "full"])
 
     heads = texts.select("rid", "ids").mapInArrow(run, "rid long, n long, known long, plain double, full double")

@@ -202,3 +202,45 @@ def test_lm_counts_by_shuffle_are_the_same(spark, monkeypatch):
     assert np.allclose(a.score, b.score)
     untrained = lm_scoring.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).head()
     assert untrained["held_out"] and untrained["train_tokens"] == 0 and untrained["base_score"] == 0 and untrained["score"] == 0
+
+
+def test_lm_large_tables_keep_all_arcs_seen_twice(spark, monkeypatch):
+    texts = lm_texts()[:-1] + ["zig zag zog", "zig zag zog", "zig zag zog", "zig zag cat"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    small = lm_scoring.score(rows).orderBy("doc_id").toPandas()  # below 2 / SHARE tokens: all of them in the automaton
+    for share in (5e-3, 0.5):
+        monkeypatch.setattr(lm_scoring, "SHARE", share)
+        large = lm_scoring.score(rows).orderBy("doc_id").toPandas()
+        assert (large.drop(columns=["base_score", "score"]) == small.drop(columns=["base_score", "score"])).all().all()
+        assert np.allclose(large.base_score, small.base_score, atol=1e-8) and np.allclose(large.score, small.score, atol=1e-6)
+    pieces = lm_scoring.PIECE
+    monkeypatch.setattr(lm_scoring, "PIECE", 7)
+    assert np.allclose(lm_scoring.score(rows).orderBy("doc_id").toPandas().score, small.score, atol=1e-6) and pieces < 1 << lm_scoring.BITS
+
+
+def test_lm_arcs_do_not_need_more_on_more_tokens(spark):
+    texts = ["a b c " * 1_400_000, *["zig zag zog"] * 2, "zig cat", "cat zag", "cat zog"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][: len(texts)]
+    got = lm_scoring.score(spark.createDataFrame([*zip(ids, texts, strict=True)], "doc_id long, text string")).toPandas().set_index("doc_id").score
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        h = ["", *t.split(), ""]
+        one.update(h[1:])
+        two.update(zip(h, h[1:], strict=False))
+        three.update(zip(h, h[1:], h[2:], strict=False))
+    n = sum(one.values())
+    assert n > 2 / lm_scoring.SHARE  # where a share of the tokens came to more than two
+    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
+    d1 = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(grams, w):  # grams: (counts of an order, counts of its histories, history), the longest first
+        if not grams:
+            return (one[w] - d1) / n
+        (counts, below, h), *rest = grams
+        arcs = {g: (c - 0.5) / below[h if len(h) > 1 else h[0]] for g, c in counts.items() if c >= 2 and g[:-1] == h}
+        return arcs.get((*h, w), 0) + max(1e-12, 1 - sum(arcs.values())) * p(rest, w)
+
+    for i, t in list(zip(ids, texts, strict=True))[1:]:
+        ws = [*t.split(), ""]
+        want = math.log10(p([(two, one, ("",))], ws[0])) + sum(math.log10(p([(three, two, (u, v)), (two, one, (v,))], w)) for u, v, w in zip(["", *ws], ws, ws[1:], strict=False))
+        assert abs(got[i] - want) < 1e-6, t

@@ -5,7 +5,8 @@ positions gives anchors, and the gaps between anchors are aligned alike. A gap w
 its longest common subsequence if it is short. Coverage is the share of the template's words that are aligned.
 
 Before that, windows of a text are found that hold enough of a template's words to reach the coverage asked for;
-aligned words are shared words, so no text without such a window can reach it.
+aligned words are shared words, so no text without such a window can reach it. A window begins at each word that the
+template has and is aligned whatever came of the windows before it; of the passages found the best are kept.
 """
 
 from __future__ import annotations
@@ -136,36 +137,21 @@ class Scanner:
         self.all = frozenset(w for ws in self.words.values() for w in ws)
 
     def windows(self, name: str, places: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
-        """Word ranges of a text, disjoint, that hold enough of a template's words within twice its length."""
+        """Word ranges of a text, of twice a template's length from each of its words on, that hold enough of its words."""
         need, most = self.need[name], 2 * len(self.words[name])
         least = self.coverage * len(self.words[name])
         have: Counter = Counter()
-        held, left = 0, 0
-        right = 0
-        while right < len(places):
-            at, w = places[right]
-            have[w] += 1
-            held += have[w] <= need[w]
-            while at - places[left][0] >= most:
-                x = places[left][1]
-                held -= have[x] <= need[x]
-                have[x] -= 1
-                left += 1
-            right += 1
+        held = right = 0
+        for at, w in places:
+            while right < len(places) and places[right][0] - at < most:
+                x = places[right][1]
+                have[x] += 1
+                held += have[x] <= need[x]
+                right += 1
             if held >= least:
-                while have[x := places[left][1]] > need[x]:  # words too many in front
-                    have[x] -= 1
-                    left += 1
-                # take in what follows closely, so that an alignment sees the whole passage
-                start = places[left][0]
-                while right < len(places) and places[right][0] - start < most and held < sum(need.values()):
-                    w = places[right][1]
-                    have[w] += 1
-                    held += have[w] <= need[w]
-                    right += 1
-                yield start, places[right - 1][0] + 1
-                have.clear()
-                held, left = 0, right
+                yield at, at + most
+            held -= have[w] <= need[w]
+            have[w] -= 1
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first character, character after the last) of each passage, whole text."""
@@ -196,12 +182,15 @@ class Scanner:
         return self.best(out)
 
     def best(self, found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
-        """Of passages that overlap, the one of most aligned words: a notice outweighs the line it starts with."""
+        """Of passages that overlap, the one of most aligned words: a notice outweighs the line it starts with; then the shortest."""
         kept: list[tuple[str, float, int, int]] = []
-        for f in sorted(found, key=lambda f: (-f[1] * len(self.words[f[0]]), -f[1], f[0])):
-            if all(f[3] <= k[2] or k[3] <= f[2] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: (f[2], f[0]))
+        starts: list[int] = []
+        for f in sorted(set(found), key=lambda f: (-f[1] * len(self.words[f[0]]), -f[1], f[0], f[3] - f[2], f[2])):
+            at = bisect_left(starts, f[2])
+            if (at == 0 or kept[at - 1][3] <= f[2]) and (at == len(kept) or f[3] <= kept[at][2]):
+                kept.insert(at, f)
+                starts.insert(at, f[2])
+        return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

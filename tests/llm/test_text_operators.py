@@ -219,6 +219,40 @@ def test_alignment_and_scan(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_scan_equals_alignment_at_every_start(spark):
+    known = license_scan.TEMPLATES
+    lines = ["Licensed under the Apache License, Version 2.0. Released under the MIT License.", "The MIT License. Released under the MIT License.", "Rights reserved. All rights reserved."]
+    got = license_scan.scan(docs(spark, lines)).toPandas()
+    assert sorted(zip(got.doc_id, got.license, strict=True)) == [(0, "Apache-2.0/line"), (0, "MIT/line"), (1, "MIT/line"), (2, "All-Rights-Reserved")]
+    assert all(c == 1 for c in got.coverage) and lines[1][got[got.doc_id == 1].start.iloc[0] :].startswith("Released")
+    chosen = {k: t for k, t in known.items() if k.endswith(("line", "work", "Reserved"))} | {"short": "a b c d e f g h i j", "twice": "to be or not to be that is a to b"}
+    scanner = license_scan.Scanner(chosen, 0.85)
+    rng = random.Random(4)
+    pool = [w for t in chosen.values() for w in license_scan.WORD.findall(t.lower())] + ["lorem", "ipsum"]
+    n = 0
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            own = license_scan.WORD.findall(rng.choice(list(chosen.values())).lower())
+            words += [rng.choice(pool) if rng.random() < 0.05 else w for w in own[rng.randint(0, 3) * (rng.random() < 0.4) : len(own) - rng.randint(0, 3) * (rng.random() < 0.4)]]
+            words += rng.choices(pool, k=rng.randint(0, 6))
+        spans = [m.span() for m in license_scan.WORD.finditer(" ".join(words))]
+        found = []
+        for name, own in scanner.words.items():
+            for at in range(len(words)):
+                if words[at] in own:
+                    pairs = license_scan.align(words[at : at + 2 * len(own)], own)
+                    if len(pairs) >= 0.85 * len(own):
+                        found.append((name, len(pairs) / len(own), spans[at + pairs[0][0]][0], spans[at + pairs[-1][0]][1]))
+        want: list = []
+        for f in sorted(found, key=lambda f: (-f[1] * len(scanner.words[f[0]]), -f[1], f[0], f[3] - f[2], f[2])):
+            if all(f[3] <= k[2] or k[3] <= f[2] for k in want):
+                want.append(f)
+        assert scanner.scan(" ".join(words)) == sorted(want, key=lambda f: f[2])
+        n += len(want)
+    assert n > 200
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(9)
     for _ in range(200):

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -76,45 +79,47 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def select_rounds(rows: pd.DataFrame, cap: int, most: int, order: list) -> list[int]:
-    """Rows chosen by rounds: in each, every source in the given order takes its best pair that is free at both ends."""
-    rows = rows.assign(cross=~rows["same_group"])
-    best = {s: [] for s in order}
-    for i, r in rows.sort_values(["cross", "score", "left_id", "right_id"], ascending=[False, False, True, True]).iterrows():
-        for end in (r["left_id"], r["right_id"]):
-            if end in best:
-                best[end].append((i, r["left_id"], r["right_id"]))
+def select_rounds(sources: Iterable[list[tuple]], cap: int, most: int) -> list[tuple]:
+    """Pairs (left, right, ...) chosen by rounds: in each, every source in order takes its best pair that is free at both ends.
+
+    sources: each source's pairs, best first, read once and only as far as needed. A source without a free pair never
+    gets one again, so later rounds need only the at most ``most`` sources that took one.
+    """
     degree: dict = {}
     taken, chosen = set(), []
     for _ in range(cap):
-        for s in order:
-            for i, a, b in best[s]:
-                if i not in taken and degree.get(a, 0) < cap and degree.get(b, 0) < cap:
-                    taken.add(i)
-                    chosen.append(i)
+        again = []
+        for own in sources:
+            for pair in own:
+                a, b = pair[:2]
+                if (a, b) not in taken and degree.get(a, 0) < cap and degree.get(b, 0) < cap:
+                    taken.add((a, b))
+                    chosen.append(pair)
                     degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+                    again.append(own)
                     break
             if len(chosen) >= most:
                 return chosen
+        sources = again
     return chosen
 
 
 def greedy_degree_cap(pairs: DataFrame, sizes: DataFrame, cap: int = 8, most: int = 256) -> DataFrame:
-    """left_id, right_id, score, position of pairs (left_id, right_id, score, same_group) chosen under a degree cap.
+    """left_id, right_id, score, position of pairs (left_id, right_id, score, same_group; each once) chosen under a degree cap.
 
-    sizes: source_id, size (of its smallest group); small groups choose first. The order of choices matters, so one
-    task runs it over a checked, bounded pool.
+    sizes: source_id, size (of its smallest group); small groups choose first, pairs of different groups are chosen
+    first. At any time a source that can choose has taken fewer than ``cap`` pairs, and at most 2 * most / cap others
+    are full, so no more of its pairs than their sum are ever looked at: the rest is cut in Spark, without an effect.
+    The driver reads the sources in order until ``most`` pairs are chosen.
     """
-    pool = _bounded(pairs).join(sizes.select(F.col("source_id").alias("left_id"), F.col("size").alias("left_size")), "left_id").join(sizes.select(F.col("source_id").alias("right_id"), F.col("size").alias("right_size")), "right_id")
+    known = pairs.join(sizes.select(F.col("source_id").alias("left_id"), F.col("size").alias("left_size")), "left_id").join(sizes.select(F.col("source_id").alias("right_id"), F.col("size").alias("right_size")), "right_id")
+    ends = [known.select(F.col(f"{end}_id").alias("source_id"), F.col(f"{end}_size").alias("size"), "left_id", "right_id", "score", "same_group") for end in ("left", "right")]
+    best = Window.partitionBy("source_id").orderBy("same_group", F.desc("score"), "left_id", "right_id")
+    near = ends[0].unionByName(ends[1]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cap + 2 * most // cap).orderBy("size", "source_id", "rank")
+    groups = groupby(near.select("source_id", "left_id", "right_id", "score").toLocalIterator(), key=itemgetter(0))
+    chosen = select_rounds(([tuple(r)[1:] for r in own] for _, own in groups), cap, most)
     kind = pairs.schema["left_id"].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = {**dict(zip(rows["left_id"], rows["left_size"], strict=True)), **dict(zip(rows["right_id"], rows["right_size"], strict=True))}
-        chosen = select_rounds(rows, cap, most, sorted(known, key=lambda s: (known[s], s)))
-        out = rows.loc[chosen, ["left_id", "right_id", "score"]]
-        return out.assign(position=range(1, len(out) + 1))
-
-    return pool.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"left_id {kind}, right_id {kind}, score double, position int")
+    return pairs.sparkSession.createDataFrame([(*pair, k) for k, pair in enumerate(chosen, 1)], f"left_id {kind}, right_id {kind}, score double, position int")
 
 
 def balanced(rows: list[tuple], cap: int, most: int) -> list[tuple]:
@@ -139,7 +144,19 @@ def balanced(rows: list[tuple], cap: int, most: int) -> list[tuple]:
 
 
 def scope_balanced_select(pairs: DataFrame, cap: int = 8, most: int = 256) -> DataFrame:
-    """left_id, right_id, score, scope, position of a checked, bounded pool of pairs."""
+    """left_id, right_id, score, scope, position of pairs (left_id, right_id, score, scope; each once) in two passes.
+
+    Most pairs can't be chosen. In either pass a pair is passed over only if an end is full (by the cap, or by half of
+    it in its scope: ``full`` ends at most) or its scope is. So it needs no look behind ``few`` better ones of an
+    end in its scope, nor behind ``far`` better ones that are left of its scope. One task chooses among the others, a
+    checked, bounded pool.
+    """
+    full = 2 * most // cap + 2 * math.ceil(most / 2) // math.ceil(cap / 2)
+    few = cap + full
+    far = most + full * 2 * few  # an end has so many pairs as left and as right end each
+    order = (F.desc("score"), "left_id", "right_id")
+    for keys, enough in ((("left_id", "scope"), few), (("right_id", "scope"), few), (("scope",), far)):
+        pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= enough).drop("place")
     kind = pairs.schema["left_id"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -68,7 +68,7 @@ local AS (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id
 lanes AS (SELECT source_id, target_id, 2 * rank AS spot FROM knn UNION ALL SELECT source_id, target_id, 2 * rank + 1 FROM local),
 firsts AS (SELECT source_id, target_id, min(spot) AS spot FROM lanes GROUP BY ALL)
 SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY spot) AS position FROM firsts QUALIFY position <= 12""")
-def alternating_fusion_pool(spark, sf_dir):
+def alternating_fusion_scoped(spark, sf_dir):
     pairs = scored(spark, sf_dir)
     both = pairs.select(F.col("left_id").alias("source_id"), F.col("right_id").alias("target_id"), "score").unionByName(pairs.select(F.col("right_id").alias("source_id"), F.col("left_id").alias("target_id"), "score"))
     local = neighbors.best_of(both.withColumn("lane", F.lit("local")), 8)
@@ -93,24 +93,16 @@ def _scoped(spark, sf_dir):
     return ends.select("left_id", "right_id", "score", (F.col("a") == F.col("b")).alias("same_group"), F.when(F.col("a") == F.col("b"), "within_collection").otherwise("whole_library").alias("scope"))
 
 
-def _pool(spark, sf_dir):
-    """Each source's four best pairs: a pool that follows from the sources, not a sample of it."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    return _scoped(spark, sf_dir).withColumn("r", F.row_number().over(order)).where("r <= 4").drop("r")
-
-
 @register()
 def greedy_degree_cap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", "source").join(docs.groupBy("source").agg(F.count("*").alias("size")), "source").select(F.col("doc_id").alias("source_id"), "size")
-    return op.greedy_degree_cap(_pool(spark, sf_dir), sizes)
+    return op.greedy_degree_cap(_scoped(spark, sf_dir), sizes)
 
 
 @register()
 def scope_balanced_select(spark, sf_dir):
-    return op.scope_balanced_select(_pool(spark, sf_dir))
+    return op.scope_balanced_select(_scoped(spark, sf_dir))
 
 
 @register()

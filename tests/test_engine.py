@@ -15,6 +15,7 @@ from lexweave import catalog
 from lexweave.functions import bibliography as bib
 from lexweave.functions import text as tx
 from lexweave.operators import candidates, catalogue, community, graph, labels, neighbors, quality, retrieval, segments
+from lexweave.plans import candidates as plans_candidates
 from lexweave.sources import inventory, notes
 from lexweave.streaming import changes
 
@@ -105,6 +106,52 @@ def test_greedy_respects_caps_and_prefers_other_groups(spark):
     assert (first.left_id, first.right_id) == max(options, key=lambda p: p[2])[:2]
 
 
+def all_rounds(pairs, size, cap, most):
+    """Brute force over all pairs (left, right, score, same_group)."""
+    pairs = sorted(pairs, key=lambda p: (p[3], -p[2], p[0], p[1]))
+    degree, out = {}, []
+    for _ in range(cap):
+        for s in sorted({x for p in pairs for x in p[:2]}, key=lambda s: (size[s], s)):
+            for p in pairs:
+                if s in p[:2] and p not in out and all(degree.get(x, 0) < cap for x in p[:2]):
+                    out.append(p)
+                    for x in p[:2]:
+                        degree[x] = degree.get(x, 0) + 1
+                    break
+            if len(out) == most:
+                return [p[:3] for p in out]
+    return [p[:3] for p in out]
+
+
+@pytest.mark.parametrize("cap,most", [(2, 4), (2, 9), (3, 50), (1, 6)])
+def test_selection_equals_brute_force_over_all_pairs(spark, cap, most):
+    rng = random.Random(cap * most)
+    ends = {(rng.choice((a, 0, 1)), b) for a in range(2, 40) for b in rng.sample(range(40), 14)}  # 0 and 1: hubs
+    pairs = [(a, b, round(rng.random(), 1), rng.random() < 0.7) for a, b in sorted(ends) if a < b]
+    size = {i: 1 + i % 3 for i in range(40)}
+    df = spark.createDataFrame(pairs, "left_id long, right_id long, score double, same_group boolean").repartition(3)
+    got = candidates.greedy_degree_cap(df, spark.createDataFrame([*size.items()], "source_id long, size long"), cap, most).orderBy("position").collect()
+    assert [tuple(r)[:3] for r in got] == all_rounds(pairs, size, cap, most)
+    scoped = df.withColumn("scope", F.when(F.col("same_group"), "within").otherwise("whole")).drop("same_group")
+    got = candidates.scope_balanced_select(scoped, cap, most).orderBy("position").collect()
+    assert [tuple(r)[:4] for r in got] == candidates.balanced([(*p[:3], "within" if p[3] else "whole") for p in pairs], cap, most)
+
+
+def test_selection_queries_take_all_pairs(spark):
+    pairs = plans_candidates._scoped(spark, SF).select("left_id", "right_id", "score", "same_group", "scope").toPandas()
+    group = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").toPandas().set_index("doc_id").source
+    size = group.map(group.value_counts())
+    best = {}
+    for p in sorted(pairs.itertuples(index=False, name=None), key=lambda p: (p[3], -p[2], p[0], p[1])):
+        for x in p[:2]:
+            best.setdefault(x, []).append(p)
+    got = catalog.QUERIES["greedy_degree_cap"](spark, SF).orderBy("position").collect()
+    want = candidates.select_rounds([best[x] for x in sorted(best, key=lambda x: (size[x], x))], 8, 256)
+    assert [tuple(r)[:3] for r in got] == [p[:3] for p in want]
+    got = catalog.QUERIES["scope_balanced_select"](spark, SF).orderBy("position").collect()
+    assert [tuple(r)[:4] for r in got] == candidates.balanced([(*p[:3], p[4]) for p in pairs.itertuples(index=False, name=None)], 8, 256)
+
+
 def test_balanced_selection_reserves_scopes():
     rows = [(a, b, 1.0 - 0.01 * a, "within") for a in range(6) for b in range(6, 9)] + [(a, b, 0.1, "whole") for a in range(6) for b in range(9, 12)]
     got = candidates.balanced(rows, 2, 8)

@@ -2,7 +2,7 @@
 
 A text and a template are aligned on words that occur once in both: the longest increasing subsequence of their
 positions gives anchors, and the gaps between anchors are aligned alike. A gap without such words is aligned by
-its longest common subsequence if it is short. Coverage is the share of the template's words that are aligned.
+its longest common subsequence. Coverage is the share of the template's words that are aligned.
 
 Before that, windows of a text are found that hold enough of a template's words to reach the coverage asked for;
 aligned words are shared words, so no text without such a window can reach it. A window begins at each word that the
@@ -23,8 +23,6 @@ from .common import id_text, kind_of
 
 #: Share of a template's words that have to be aligned.
 COVERAGE = 0.85
-#: Cells of a gap's table up to which its common subsequence is worked out.
-CELLS = 4096
 WORD = re.compile(r"[^\W_]+")
 
 # License identifiers and the wording of notices.
@@ -83,22 +81,27 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
+    """A longest common subsequence. A row of its table is an integer: a bit is 0 where the length grows by one."""
+    places: dict[str, int] = defaultdict(int)
+    for j, w in enumerate(b):
+        places[w] |= 1 << j
+    row = whole = (1 << len(b)) - 1
+    rows = []
+    for w in a:
+        hit = row & places.get(w, 0)
+        row = ((row + hit) | (row - hit)) & whole
+        rows.append(row)
+    i, j = len(a), len(b)
     out = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:  # as long without b's last word
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:  # as long without a's last word
+            i -= 1
         else:
-            j += 1
-    return out
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -124,7 +127,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             for p, q in [*anchors, (i_end, j_end)]:
                 todo.append((x, p, y, q))
                 x, y = p + 1, q + 1
-        elif (i_end - i) * (j_end - j) <= CELLS:
+        else:
             out += [(i + p, j + q) for p, q in common(a[i:i_end], b[j:j_end])]
     return sorted(out)
 

@@ -266,6 +266,15 @@ def test_common_subsequence_is_longest():
         assert len(pairs) == n[-1][-1]
 
 
+def test_long_gaps_of_repeated_words_are_aligned():
+    rng = random.Random(3)
+    b = [w for w in "abcdefghijklmnopqrstuvwxyz" for _ in range(3)]
+    rng.shuffle(b)
+    a = ["x", *(w for w in b for _ in range(2)), "y"]  # no word is unique in both, 158 by 78 words
+    assert [j for _, j in license_scan.align(a, b)] == list(range(len(b)))
+    assert len(license_scan.Scanner({"own": " ".join(b)}, 0.85).scan(" ".join(a))) == 1
+
+
 PAGES = [
     (1, "http://a/x", '<html lang="EN"><head><title> A  b </title><script>var t="</p>";</script></head><body><p>One &amp; two<br>three<!-- <b>no</b> --></p><a class=k href="/q?a=1">l</a></body></html>'),
     (1, "http://a/x", "<p>again"), (1, "http://a/x", "<p>again"), (2, None, "plain < text > &copy;"), (3, "u", None), (None, "u", ""), (4, "u", "<style>x" + "y" * 200_000), (5, "u", "a <b"),

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, kind_of, sampled
+from .common import crc_mod, id_text, kind_of, sampled, written
 
 ORDERS = (1, 2, 3, 4)
 BITS = 18
 #: Documents that the classifier is fitted on, alike many of each language: the documented bound of the sample.
-SAMPLE = 1500
+SAMPLE = 4000
 UNDETERMINED = "und"
 #: Characters that are hashed at a time; a longer text is taken in blocks with the overlap that n-grams need.
 BLOCK = 1 << 20
@@ -125,9 +125,11 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> li
                 shares.append((n / max(n.sum(), 1)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(slots, pa.binary()), pa.array(shares, pa.binary()), b.column(0).cast(pa.string())], ["lang", "slots", "shares", "id"])
 
-    found = sampled(rows, "lang", "doc_id", sample, counts).mapInArrow(counted, "lang string, slots binary, shares binary, id string").collect()
-    found.sort(key=lambda r: (hash_order(r[3]), r[3], r[0], bytes(r[1])))
-    return [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in found if len(r[1])]
+    table = written(sampled(rows, "lang", "doc_id", sample, counts).mapInArrow(counted, "lang string, slots binary, shares binary, id string"), "grams")
+    # row by row, so that the driver holds the sample once
+    found = [(hash_order(r[3]), r[3], r[0], bytes(r[1]), bytes(r[2])) for r in table.toLocalIterator() if len(r[1])]
+    found.sort(key=lambda r: r[:4])
+    return [(r[2], np.frombuffer(r[3], "<i4"), np.frombuffer(r[4], "<f4")) for r in found]
 
 
 def hash_order(key: str) -> int:

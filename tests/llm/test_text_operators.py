@@ -196,6 +196,17 @@ def test_language_id(spark):
     assert language_id.identify(docs(spark, [])).count() == 0
 
 
+def test_language_sample_is_not_cut(spark):
+    texts = [f"word{i} of a text" for i in range(4200)]
+    rows = docs(spark, texts, ["en", "de"] * 2100)
+    learned = [i for i in range(4200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 3000 < len(learned) <= language_id.SAMPLE
+    got = language_id.training_rows(rows.repartition(5))
+    assert len(got) == len(learned)
+    again = language_id.training_rows(rows.repartition(2))
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(got, again, strict=True))
+
+
 def test_gram_slots_do_not_depend_on_blocks(monkeypatch):
     text = "abcdefghij" * 20
     whole = [np.sort(s) for s in language_id.gram_slots(text)]

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +65,29 @@ class BestFit:
         return at, self.capacity - free
 
 
-#: A run of letters that composition leaves alone and one character's lower case covers, then punctuation.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
-#: Stands between words that are encoded in one call; one token of its own.
-MARK = "\x01"
+#: Letters that composition leaves alone and one character's lower case covers, and what may follow them in a word.
+PLAIN, AFTER = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", ".,!?;:"
+#: Space to str.split, but not to the tokenizer.
+ODD = "[\x1c-\x1f]"
+#: Characters of texts that are split into words at a time.
+SLICE = 8_000_000
+
+
+def byte_letters() -> list[str]:
+    """For each byte the printable character that stands for it in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 class WordIds:
-    """The ids of texts as 32-bit integers, each word encoded once.
+    """The ids of texts as 32-bit integers, each word of a slice of texts encoded once.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in order. A word of
-    letters and then punctuation has the ids of its lower-cased letters and then those of the punctuation. Four
-    control characters are space to str.split but not to the tokenizer; texts with one are encoded whole.
+    letters and then punctuation has the ids of its lower-cased letters and then those of the punctuation; letters
+    like these need no normalising and go straight to the merges. Ids lie in one growing array; a word is a place
+    in it, so texts are put together by array operations. Texts with one of four control characters that are space
+    to ``split`` but not to the tokenizer are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str, entries: int = CACHE_ENTRIES):
@@ -84,50 +95,91 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.entries = Tokenizer.from_str(tokenizer_json), entries
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.mark = self._whole(MARK)
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, cores: list[str]) -> None:
-        apart = [c for c in cores if MARK not in c]
-        self.cores |= {c: self._whole(c) for c in cores if MARK in c}
-        mark = int.from_bytes(self.mark, "little")
-        parts = [apart[k : k + 500] for k in range(0, len(apart), 500)]
-        for some, e in zip(parts, self.tokenizer.encode_batch_fast([f" {MARK} ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4")
-            ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
-            data, at = ids.tobytes(), 0
-            for c, end in zip(some, ends, strict=True):
-                self.cores[c] = data[4 * at : 4 * end]
-                at = end + 1
-
-    def _add(self, fresh: list[str]) -> None:
-        split = [(w, m.group(1).lower(), m.group(2)) if (m := PLAIN.fullmatch(w)) else (w, w, "") for w in fresh]
-        if len(self.cores) > self.entries:
-            self.cores.clear()
-        if need := {x for _, core, rest in split for x in (core, rest) if x and x not in self.cores}:
-            self._learn(list(need))
-        cores = self.cores
-        self.words.update([(w, cores[core] + cores[rest] if rest else cores[core]) for w, core, rest in split])
-
-    def of(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for text in texts:
-            if not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                yield self._whole(text)
-                continue
-            words, known = text.split(), self.words
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                fresh = list(set(words).difference(known))
-                if len(known) + len(fresh) > self.entries:
-                    known.clear()
-                    fresh = list(set(words))
-                self._add(fresh)
-                yield b"".join([known[w] for w in words])
+        self.merges = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.add([""], [], [0])
+
+    def add(self, words: list[str], flat: list[int], ends: list[int]) -> None:
+        """Gives words with known ids, laid end to end, their places."""
+        at, n, last = len(self.number), len(words), np.array(ends, np.int64)
+        self.number.update(zip(words, range(at, at + n), strict=True))
+        while len(self.start) < at + n:
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.concatenate([self.ids, self.ids])
+        size = np.diff(last, prepend=0)
+        self.start[at : at + n], self.size[at : at + n] = self.used + last - size, size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def places(self, words: list[str], plain: bool) -> np.ndarray:
+        """Each distinct word's place; plain words are lower-cased letters."""
+        fresh, flat, ends = [w for w in words if w not in self.number], [], []
+        merge, letters = self.merges.tokenize, self.letters
+        for w in fresh:
+            if not plain:
+                flat += self.whole(w)
+            else:
+                flat += [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]
+            ends.append(len(flat))
+        if fresh:
+            self.add(fresh, flat, ends)
+        return np.array([self.number[w] for w in words], np.int64)
+
+    def slice_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts laid end to end, and where each text ends."""
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        core = pc.utf8_rtrim(words, AFTER)
+        plain = pc.match_substring_regex(core, PLAIN)
+        core = pc.if_else(plain, pc.utf8_lower(core), words)
+        after = pc.if_else(plain, pc.utf8_slice_codeunits(words, 0, 0), "")
+        if len(words):
+            size = pc.if_else(plain, pc.utf8_length(pc.utf8_rtrim(words, AFTER)), pc.utf8_length(words)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(size < pc.utf8_length(words).to_numpy(zero_copy_only=False))
+            rest = np.array([""] * len(words), object)
+            rest[at] = [w[n:] for w, n in zip(words.take(pa.array(at)).to_pylist(), size[at].tolist(), strict=True)]
+            after = pa.array(rest, pa.string())
+        if len(self.number) + len(words) > self.entries:
+            self._reset()
+        place = np.zeros((len(words), 2), np.int64)
+        mask = plain.to_numpy(zero_copy_only=False).astype(bool)
+        for column, of, kind in ((0, core.filter(plain), True), (0, core.filter(pc.invert(plain)), False), (1, after, False)):
+            own = of.dictionary_encode()
+            found = self.places(own.dictionary.to_pylist(), kind)[own.indices.to_numpy()]
+            place[mask if kind else ~mask if column == 0 else slice(None), column] = found
+        parts = place[coded.indices.to_numpy()].reshape(-1)
+        size = self.size[parts]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.start[parts] - ends + size, size) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())]
+        return ids, bounds[1:]
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's ids; texts hold no nulls."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            done = int(size[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(size, done + SLICE, "right")))
+            ids, ends = self.slice_ids(texts.slice(at, upto - at))
+            begin = 0
+            for k, end in zip(range(at, upto), ends.tolist(), strict=True):
+                yield np.array(self.whole(texts[k].as_py()), np.uint32) if odd[k] else ids[begin:end]
+                begin = end
+            at = upto
 
 
 _KNOWN: dict[int, WordIds] = {}
@@ -153,15 +205,16 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end_i
         tail = end_id.to_bytes(4, "little")
         for b in batches:
             at, piece, start, size, crc = [], [], [], [], []
-            for row, ids in enumerate(encoder.of(t.as_py() for t in b.column(1))):
-                ids += tail
-                for k in range(0, len(ids), 4 * length):
-                    part = ids[k : k + 4 * length]
+            for row, ids in enumerate(encoder.of(b.column(1))):
+                for k in range(0, len(ids) + 1, length):  # the end id comes after the others
+                    part = ids[k : k + length]
+                    last = k + length > len(ids)
                     at.append(row)
-                    piece.append(k // (4 * length))
-                    start.append(k // 4)
-                    size.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    piece.append(k // length)
+                    start.append(k)
+                    size.append(len(part) + last)
+                    own = zlib.crc32(np.ascontiguousarray(part, "<u4"))
+                    crc.append(zlib.crc32(tail, own) if last else own)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )

@@ -6,9 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Spellings and plurals that are made one, and slugs that say nothing.
-SPELLING = {"behaviour": "behavior", "labour": "labor", "organisation": "organization", "colour": "color", "defence": "defense", "centre": "center"}
-PLURAL = {"wars": "war", "states": "state", "policies": "policy", "theories": "theory", "conflicts": "conflict", "elections": "election", "institutions": "institution"}
-GENERIC = ["article", "book", "paper", "study", "research", "introduction", "analysis", "literature"]
+SPELLING = {
+    "behaviour": "behavior", "behaviours": "behaviors", "centre": "center", "centres": "centers", "labour": "labor", "modelling": "modeling",
+    "organisational": "organizational", "organisation": "organization", "organisations": "organizations",
+}
+PLURAL = {
+    "arrangements": "arrangement", "cases": "case", "countries": "country", "datasets": "dataset", "mechanisms": "mechanism", "measurements": "measurement", "measures": "measure",
+    "methods": "method", "outcomes": "outcome", "participants": "participant", "periods": "period", "populations": "population", "studies": "study", "theories": "theory", "wars": "war",
+}
+GENERIC = [
+    "analysis", "analytical", "article", "book", "case", "conflict", "data", "document", "full-text", "literature", "mechanism", "mediation", "method", "none", "outcome", "paper",
+    "peace", "research", "source", "study", "theory", "unknown", "unspecified", "war",
+]
+BIBLIOGRAPHIC = ["bibliography", "electronic-book", "electronic-books", "journal-article", "journal-articles", "pdf", "peer-reviewed", "reference", "references"]
 KEPT_PLURALS = ["geography", "period", "data"]
 
 
@@ -73,7 +83,7 @@ def reject_reason(label: Column, slug_: Column) -> Column:
     return (
         F.when((F.coalesce(label, F.lit("")) == "") | (F.coalesce(slug_, F.lit("")) == ""), "empty").when((F.length(label) > 96) | (F.length(slug_) > 80), "too_long")
         .when(label.rlike("(?i)^(https?|file)://"), "url").when(label.rlike(r"(?i)^10\.[0-9]{4,9}/[^\s]+$"), "doi").when(label.rlike(r"^(?:(?i:isbn)(?:-1[03])?:?\s*)?[0-9Xx -]{10,20}$"), "bibliographic_identifier")
-        .when(label.rlike(r"^[0-9]+(\.[0-9]+)?$"), "numeric_only").when((words > 8) | label.rlike("[?!;]"), "sentence_like").when(label.rlike(r"(?i)\.(pdf|epub|docx?)$"), "bibliographic_format").when(slug_.isin(GENERIC), "collection_generic").otherwise("")
+        .when(label.rlike(r"^[0-9]+(\.[0-9]+)?$"), "numeric_only").when((words > 8) | label.rlike("[?!;]"), "sentence_like").when(slug_.isin(BIBLIOGRAPHIC) | label.rlike(r"(?i)\.(pdf|epub|docx?)$"), "bibliographic_format").when(slug_.isin(GENERIC), "collection_generic").otherwise("")
     )
 
 

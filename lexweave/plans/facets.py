@@ -35,7 +35,7 @@ def slug_canonical(spark, sf_dir):
 
 @register(rf"""WITH {SLUGS} SELECT k, CASE WHEN x = '' OR slug = '' THEN 'empty' WHEN length(x) > 96 OR length(slug) > 80 THEN 'too_long' WHEN regexp_matches(x, '(?i)^(https?|file)://') THEN 'url'
 WHEN regexp_matches(x, '(?i)^10\.[0-9]{{4,9}}/[^\s]+$') THEN 'doi' WHEN regexp_matches(x, '^(?:(?i:isbn)(?:-1[03])?:?\s*)?[0-9Xx -]{{10,20}}$') THEN 'bibliographic_identifier' WHEN regexp_matches(x, '^[0-9]+(\.[0-9]+)?$') THEN 'numeric_only'
-WHEN len(regexp_extract_all(x, '[A-Za-z0-9]+')) > 8 OR regexp_matches(x, '[?!;]') THEN 'sentence_like' WHEN regexp_matches(x, '(?i)\.(pdf|epub|docx?)$') THEN 'bibliographic_format'
+WHEN len(regexp_extract_all(x, '[A-Za-z0-9]+')) > 8 OR regexp_matches(x, '[?!;]') THEN 'sentence_like' WHEN slug IN ({', '.join(f"'{g}'" for g in bib.BIBLIOGRAPHIC)}) OR regexp_matches(x, '(?i)\.(pdf|epub|docx?)$') THEN 'bibliographic_format'
 WHEN slug IN ({', '.join(f"'{g}'" for g in bib.GENERIC)}) THEN 'collection_generic' ELSE '' END AS reason FROM slugs""")
 def slug_reject_reason(spark, sf_dir):
     return _slugs(spark).select("k", bib.reject_reason(F.col("x"), F.col("slug")).alias("reason"))

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 
-def closure(tree: DataFrame, depth: int = 16) -> DataFrame:
+
+def closure(tree: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """node, ancestor (itself included) of a tree (node, parent), in rounds; a cycle ends with the nodes it has seen.
 
-    A round joins only the last round's rows, and a tree of d levels takes d rounds.
+    starts: the nodes to walk up from, all if None. A round joins only the last round's rows and is written, so a
+    tree of d levels takes d rounds of one join each, however deep it is.
     """
-    found = tree.select("node", F.col("node").alias("ancestor"))
-    last = found
-    for _ in range(depth):
-        last = last.join(tree.where("parent is not null").select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor")).join(found, ["node", "ancestor"], "left_anti")
-        if last.isEmpty():
-            break
+    nodes = tree if starts is None else tree.join(starts.select("node").distinct(), "node", "left_semi")
+    up = tree.where("parent is not null").select(F.col("node").alias("ancestor"), "parent").distinct()
+    found = last = written(nodes.select("node", F.col("node").alias("ancestor")).distinct(), "closure")
+    while not last.isEmpty():
+        step = last.join(up, "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
+        last = written(step.join(found, ["node", "ancestor"], "left_anti"), "closure")
         found = found.unionByName(last)
     return found
 

@@ -27,7 +27,7 @@ def label_propagation(edges: DataFrame, rounds: int = 6, least: float = 0.0) ->
     labels = written(nodes.withColumn("label", F.col("node")), "lp-labels")
     for _ in range(rounds):
         sums = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node", "label").agg(F.sum("score").alias("w"))
-        best = sums.groupBy("node").agg(F.max_by("label", F.struct(F.round("w", 9).alias("w"), (-F.col("label")).alias("l"))).alias("best"))
+        best = sums.groupBy("node").agg(F.min_by("label", F.struct((-F.round("w", 9)).alias("w"), "label")).alias("best"))
         labels = written(labels.join(best, "node", "left").select("node", F.coalesce("best", "label").alias("label")), "lp-labels")
     return labels
 

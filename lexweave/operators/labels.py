@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,14 +16,15 @@ from ..functions import text as tx
 def phrases(x: Column, sizes: range = range(2, 5)) -> Column:
     """All runs of 2 to 4 words that neither start nor end with a stop word and are at most half stop words."""
     stop = F.array(*map(F.lit, tx.STOP_WORDS))
-    words = tx.tokens(x)
 
-    def of(n: int) -> Column:
+    def of(words: Column, n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, n))
         return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<array<string>>"))
 
     good = lambda p: ~F.array_contains(stop, F.element_at(p, 1)) & ~F.array_contains(stop, F.element_at(p, -1)) & (2 * F.size(F.filter(p, lambda w: F.array_contains(stop, w))) <= F.size(p))
-    return F.transform(F.filter(F.concat(*map(of, sizes)), good), lambda p: F.array_join(p, " "))
+    runs = lambda words: F.transform(F.filter(F.concat(*(of(words, n) for n in sizes)), good), lambda p: F.array_join(p, " "))
+    # the text is split once: a lambda's variable, not its expression, stands for the words
+    return F.element_at(F.transform(F.array(tx.tokens(x)), runs), 1)
 
 
 def phrase_weights(notes: DataFrame, most: int = 512) -> DataFrame:
@@ -41,8 +45,10 @@ def competitors(weights: DataFrame, members: DataFrame) -> DataFrame:
     size = members.groupBy("community").agg(F.countDistinct("note_id").alias("size"))
     sums = weights.join(members, "note_id").groupBy("community", "phrase").agg(F.sum("weight").alias("w"), F.countDistinct("note_id").alias("n"), F.count(F.when(F.col("titled"), 1)).alias("titles"))
     rated = sums.join(size, "community").select("community", "phrase", "w", (F.col("n") / F.col("size")).alias("coverage"), (F.col("titles") / F.col("size")).alias("titles"))
-    two = rated.groupBy("phrase").agg(F.max(F.struct("coverage", "community")).alias("best"), F.slice(F.sort_array(F.collect_list(F.struct("coverage", "community")), asc=False), 2, 1).alias("second"))  # one entry a community
-    outside = F.when(F.col("best.community") == F.col("community"), F.coalesce(F.get("second", F.lit(0)).getField("coverage"), F.lit(0.0))).otherwise(F.col("best.coverage"))
+    best = rated.groupBy("phrase").agg(F.max(F.struct("coverage", "community")).alias("best"))
+    others = rated.join(best, "phrase").where(F.col("best.community") != F.col("community"))
+    two = best.join(others.groupBy("phrase").agg(F.max("coverage").alias("second")), "phrase", "left")
+    outside = F.when(F.col("best.community") == F.col("community"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("best.coverage"))
     return rated.join(two, "phrase").select("community", "phrase", "w", "coverage", "titles", outside.alias("outside"))
 
 
@@ -59,35 +65,52 @@ def label_candidates(weights: DataFrame, members: DataFrame, most: int = 24) ->
     return c.select("community", "phrase", F.round(score, 9).alias("score"), F.round("coverage", 6).alias("coverage")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def assign(rows: list[tuple], penalty: float = 0.65, same: float = 0.8) -> dict:
-    """community -> phrase from (community, phrase, score): jointly, best first, likeness to labels given costs."""
-    words = lambda p: set(p.split()) - set(tx.STOP_WORDS)
+#: Candidates that one task assigns; more is an error, as each choice depends on all before it.
+POOL = 500_000
 
-    def alike(a: str, b: str) -> float:
-        x, y = words(a), words(b)
-        return 1.0 if x and y and (x <= y or y <= x) else len(x & y) / max(1, len(x | y))
 
-    by: dict = {}
-    for c, p, s in rows:
-        by.setdefault(c, []).append((p, s))
+def assign(rows: list[tuple], penalty: float = 0.65, same: float = 0.8) -> dict:
+    """community -> phrase from (community, phrase, score): jointly, best first, likeness to labels given costs.
+
+    A value can only fall as labels are given, so the best stored one is looked at again and chosen if it still holds.
+    """
+    stop = set(tx.STOP_WORDS)
+    given: dict[str, list[tuple[int, set]]] = defaultdict(list)  # by word: labels that have it
+
+    def near(own: set) -> float:
+        seen, most = set(), 0.0
+        for w in own:
+            for k, other in given[w]:
+                if k not in seen:
+                    seen.add(k)
+                    most = max(most, 1.0 if own <= other or other <= own else len(own & other) / len(own | other))
+        return most
+
+    heap = [(-s, str(c), p, c, s, set(p.split()) - stop) for c, p, s in rows]
+    heapq.heapify(heap)
     chosen: dict = {}
-    while by:
-        best = None
-        for c, options in by.items():
-            for p, s in options:
-                near = max((alike(p, q) for q in chosen.values()), default=0.0)
-                if near < same:
-                    key = (-(s * (1 - penalty * near)), str(c), p)
-                    best = min(best, (key, c, p)) if best else (key, c, p)
-        if best is None:
-            break
-        chosen[best[1]] = best[2]
-        del by[best[1]]
+    while heap:
+        value, name, p, c, s, own = heapq.heappop(heap)
+        if c in chosen:
+            continue
+        like = near(own)
+        if like >= same:
+            continue
+        now = -(s * (1 - penalty * like))
+        if now > value:
+            heapq.heappush(heap, (now, name, p, c, s, own))
+            continue
+        chosen[c] = p
+        for w in own:
+            given[w].append((len(chosen), own))
     return chosen
 
 
 def assign_labels(candidates: DataFrame) -> DataFrame:
-    """community, label: one task over at most 24 candidates a community."""
+    """community, label: one task over at most POOL candidates in all (24 a community); more is an error, never a cut."""
+    n = candidates.count()
+    if n > POOL:
+        raise ValueError(f"{n} label candidates; one task assigns at most {POOL}")
     kind = candidates.schema["community"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

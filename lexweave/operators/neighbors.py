@@ -22,9 +22,14 @@ def _blocks(vectors: DataFrame, block: int) -> DataFrame:
     return packed.select("block", F.lit(number).alias("blocks"), "rows")
 
 
-def _tiles(vectors: DataFrame, block: int) -> DataFrame:
+def _tiles(vectors: DataFrame, block: int, asked: DataFrame | None) -> DataFrame:
+    """Each block of what is asked (all vectors if None) with each block of all vectors."""
     packed = _blocks(vectors, block)
-    left = packed.select("block", "rows", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = packed
+    if asked is not None:
+        number = packed.select(F.col("blocks").alias("n")).limit(1)  # one row
+        left = _blocks(asked, block).drop("blocks").crossJoin(F.broadcast(number)).withColumnRenamed("n", "blocks")
+    left = left.select("block", "rows", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return left.join(packed.select(F.col("block").alias("other"), F.col("rows").alias("against")), "other").select("rows", "against")
 
 
@@ -33,9 +38,10 @@ def _unit(rows) -> tuple[list, np.ndarray, list]:
     return [r["source_id"] for r in rows], x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), [frozenset(r["groups"] if r["groups"] is not None else ()) for r in rows]
 
 
-def lanes(vectors: DataFrame, k: int, scoped: bool, least: float = 0.0, block: int = BLOCK) -> DataFrame:
+def lanes(vectors: DataFrame, k: int, scoped: bool, least: float = 0.0, block: int = BLOCK, asked: DataFrame | None = None) -> DataFrame:
     """source_id, target_id, score, lane: each source's k most similar others above ``least``; lane is "within" a shared
     group or "outside" if scoped (k of each), else "all". vectors: source_id, vector, groups (array or null).
+    asked: those of the vectors that neighbours are wanted of; all if None.
     """
     kind = vectors.schema["source_id"].dataType.simpleString()
 
@@ -66,7 +72,7 @@ def lanes(vectors: DataFrame, k: int, scoped: bool, least: float = 0.0, block: i
                         out.append(pd.DataFrame({"source_id": [a[at + p] for p in i], "target_id": [b[q] for q in j], "score": own[i, j], "lane": lane}))
                 yield pd.concat(out)
 
-    found = _tiles(vectors, block).mapInPandas(run, f"source_id {kind}, target_id {kind}, score double, lane string")
+    found = _tiles(vectors, block, asked).mapInPandas(run, f"source_id {kind}, target_id {kind}, score double, lane string")
     return best_of(found, k)
 
 
@@ -90,7 +96,8 @@ def scoped_knn(vectors: DataFrame, k: int = 8, least: float = 0.0, block: int =
 
 def incremental_knn(edges: DataFrame, vectors: DataFrame, dirty: DataFrame, k: int = 8) -> DataFrame:
     """edges with the outgoing edges of dirty sources (source_id) computed again; others stay as they are."""
-    fresh = knn(vectors, k).join(dirty.select("source_id"), "source_id", "left_semi")
+    asked = vectors.join(dirty.select("source_id"), "source_id", "left_semi")
+    fresh = lanes(vectors, k, False, asked=asked).drop("lane")
     return edges.join(dirty.select("source_id"), "source_id", "left_anti").unionByName(fresh)
 
 

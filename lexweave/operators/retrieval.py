@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as tx
 
 #: Queries are given by the caller; a table of up to so many words is sent to all tasks, a larger one shuffled.
 WORDS_SENT = 200_000
+#: Query vectors that go to all tasks at a time; a larger set is asked in blocks of about so many.
+VECTORS_SENT = 1000
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,8 +42,10 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: s
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, source_id, score of all vectors (source_id, vector) for given query vectors (query_id, vector), negative ones too."""
-    asked = queries.select("query_id", F.col("vector").alias("q"))
-    return vectors.join(F.broadcast(asked) if asked.count() <= 1000 else asked).select("query_id", "source_id", tx.dot(F.col("vector"), F.col("q")).alias("score"))
+    asked = queries.select("query_id", F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // VECTORS_SENT)))).alias("part"))
+    parts = sorted(r[0] for r in asked.select("part").distinct().collect())
+    found = [vectors.crossJoin(F.broadcast(asked.where(F.col("part") == p))) for p in parts] or [vectors.crossJoin(asked)]
+    return reduce(DataFrame.unionByName, found).select("query_id", "source_id", tx.dot(F.col("vector"), F.col("q")).alias("score"))
 
 
 def ranked(scores: DataFrame, most: int, score: str = "score", digits: int | None = None) -> DataFrame:

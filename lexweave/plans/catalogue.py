@@ -28,7 +28,7 @@ def tree_rollup(spark, sf_dir):
 @register(f"""WITH RECURSIVE {TREE}, up(node, ancestor) AS (SELECT node, node FROM tree UNION SELECT up.node, tree.parent FROM up JOIN tree ON tree.node = up.ancestor WHERE tree.parent IS NOT NULL)
 SELECT node, ancestor FROM up WHERE node = 'n7'""")
 def snapshot_scope(spark, sf_dir):
-    return op.closure(_tree(spark, sf_dir)[0]).where("node = 'n7'")
+    return op.closure(_tree(spark, sf_dir)[0], spark.createDataFrame([("n7",)], "node string"))
 
 
 @register("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderstatus END AS c, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 <> 0),

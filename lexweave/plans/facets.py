@@ -98,8 +98,8 @@ def related_link_rank(spark, sf_dir):
     return op.related(line.select((F.col("l_orderkey") % 500).alias("source_id"), (F.col("l_partkey") % 500).alias("target_id"), F.col("l_quantity").cast("double").alias("strength"), (F.col("l_linenumber") != 1).alias("inferred")))
 
 
-@register("""WITH c AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS target_id, CASE WHEN l_linenumber % 2 = 0 THEN 'cites' ELSE 'cited_by' END AS relation_type FROM lineitem WHERE l_linenumber <= 2)
+@register("""WITH c AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS target_id, CASE WHEN l_linenumber % 2 = 0 THEN 'cites' ELSE 'cited_by' END AS relation_type FROM lineitem)
 SELECT * FROM c UNION SELECT target_id, source_id, CASE relation_type WHEN 'cites' THEN 'cited_by' ELSE 'cites' END FROM c""")
 def inverse_citation(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    line = table(spark, sf_dir, "lineitem")
     return op.with_inverse(line.select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.when(F.col("l_linenumber") % 2 == 0, "cites").otherwise("cited_by").alias("relation_type")))

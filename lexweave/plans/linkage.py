@@ -74,9 +74,9 @@ _PAIRS = """own AS (SELECT DISTINCT {key} AS key, {member} AS m FROM {table}), f
 SELECT a.m AS left_id, b.m AS right_id, count(*) AS shared FROM own a JOIN own b USING (key) WHERE a.m < b.m AND key IN (SELECT key FROM few) GROUP BY ALL"""
 
 
-@register("WITH " + _PAIRS.format(key="l_partkey", member="l_orderkey", table="lineitem WHERE l_linenumber = 1", most=20))
+@register("WITH " + _PAIRS.format(key="l_partkey", member="l_orderkey", table="lineitem", most=100))
 def shared_reference_signals(spark, sf_dir):
-    return op.group_signals(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), "l_partkey", "l_orderkey", 20)[0]
+    return op.group_signals(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", 100)[0]
 
 
 @register("WITH " + _PAIRS.format(key="p_name", member="p_partkey", table="part", most=60))
@@ -84,9 +84,9 @@ def shared_tag_signals(spark, sf_dir):
     return op.group_signals(table(spark, sf_dir, "part"), "p_name", "p_partkey", 60)[0]
 
 
-@register("WITH s AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) SELECT count(*) FILTER (n > 30) AS skipped FROM s")
+@register("WITH s AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) SELECT count(*) FILTER (n > 100) AS skipped FROM s")
 def skipped_groups(spark, sf_dir):
-    return op.group_signals(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", 30)[1]
+    return op.group_signals(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", 100)[1]
 
 
 @register("""SELECT o_orderkey, coalesce(o_orderstatus = 'F' AND o_totalprice > 50000 AND o_orderpriority LIKE '1%' AND n > 0 AND n = done, false) AS sufficient

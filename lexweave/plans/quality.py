@@ -73,11 +73,11 @@ def paired_delta(spark, sf_dir):
     return op.paired_deltas(b, c).withColumn("mean", F.round("mean", 4))
 
 
-@register("""WITH r AS (SELECT l_orderkey AS pair, l_suppkey % 5 AS reviewer, CASE l_returnflag WHEN 'N' THEN 'useful' WHEN 'R' THEN 'unsupported' ELSE 'uncertain' END AS label FROM lineitem WHERE l_linenumber <= 2)
+@register("""WITH r AS (SELECT l_orderkey AS pair, l_suppkey % 5 AS reviewer, CASE l_returnflag WHEN 'N' THEN 'useful' WHEN 'R' THEN 'unsupported' ELSE 'uncertain' END AS label FROM lineitem)
 SELECT pair, CASE WHEN count(*) = 2 AND count(DISTINCT label) = 1 THEN min(label) ELSE 'uncertain' END AS label, count(*) = count(DISTINCT reviewer) AS valid FROM r GROUP BY pair""")
 def reviewer_consensus(spark, sf_dir):
     label = F.when(F.col("l_returnflag") == "N", "useful").when(F.col("l_returnflag") == "R", "unsupported").otherwise("uncertain")
-    return op.consensus(table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("pair"), (F.col("l_suppkey") % 5).alias("reviewer"), label.alias("label")))
+    return op.consensus(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), (F.col("l_suppkey") % 5).alias("reviewer"), label.alias("label")))
 
 
 @register("""WITH h AS (SELECT doc_id AS source_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('v1|' || source || '|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)

@@ -1,4 +1,4 @@
-"""Retrieval queries: benchmark texts ask documents, vectors stand for the documents of the same number."""
+"""Retrieval queries: benchmark texts ask documents, vectors stand for the documents and questions of the same number."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from .registry import register, table
 
 def _inputs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vector"))
-    return docs, asked, vectors, vectors.where("source_id < 5").select(F.col("source_id").alias("query_id"), "vector")
+    return docs, asked, vectors, vectors.join(asked.select(F.col("query_id").alias("source_id")), "source_id", "left_semi").select(F.col("source_id").alias("query_id"), "vector")
 
 
 @register(f"WITH {sql.POSTS} SELECT word, count(*) AS df FROM posts GROUP BY word")
@@ -64,11 +64,11 @@ def hybrid_recall(spark, sf_dir):
     return op.hybrid_recall(docs, asked, vectors, by)
 
 
-@register(f"""SELECT doc_id AS source_id, CAST({_OFFSET} AS INTEGER) AS "offset" FROM documents d, benchmark q WHERE q.item_id = 0""")
+@register(f"""SELECT doc_id AS source_id, CAST({_OFFSET} AS INTEGER) AS "offset" FROM documents d JOIN benchmark q ON q.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 def excerpt_offset(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").select(tx.words(F.col("text")).alias("asked"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.crossJoin(F.broadcast(asked)).select(F.col("doc_id").alias("source_id"), op.excerpt_offset(F.col("text"), F.col("asked")).alias("offset"))  # one row is asked
+    asked = table(spark, sf_dir, "benchmark").select("item_id", tx.words(F.col("text")).alias("asked"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % asked.count())
+    return docs.join(asked, "item_id").select(F.col("doc_id").alias("source_id"), op.excerpt_offset(F.col("text"), F.col("asked")).alias("offset"))
 
 
 @register("""WITH r AS (SELECT source, CASE WHEN n_chars < 200 THEN 'Metadata-Only' WHEN n_chars < 1000 THEN 'abstract' ELSE 'full_document' END AS scope FROM documents)

@@ -20,14 +20,14 @@ def words(x: str) -> str:
 POSTS = f"posts AS (SELECT doc_id AS source_id, unnest({words('text')}) AS word FROM documents)"
 DF = "df AS (SELECT word, count(*) AS df FROM posts GROUP BY word)"
 SCORES = f"""{POSTS}, {DF},
-asked AS (SELECT item_id AS query_id, unnest({words('text')}) AS word FROM benchmark WHERE item_id < 5),
+asked AS (SELECT item_id AS query_id, unnest({words('text')}) AS word FROM benchmark),
 size AS (SELECT count(*) AS n FROM documents),
 scores AS (SELECT query_id, source_id, sum(1 + ln((1 + n) / CAST(1 + df AS DOUBLE))) AS score
   FROM posts JOIN asked USING (word) JOIN df USING (word), size GROUP BY ALL),
 lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source_id) AS rank FROM scores QUALIFY rank <= 32)"""
 DENSE = """
 known AS (SELECT vec_id AS source_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
-dscores AS (SELECT a.vec_id AS query_id, source_id, list_dot_product(v, a.embedding::DOUBLE[]) AS score FROM known, embeddings a WHERE a.vec_id < 5),
+dscores AS (SELECT a.vec_id AS query_id, source_id, list_dot_product(v, a.embedding::DOUBLE[]) AS score FROM known, embeddings a WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS rank FROM dscores QUALIFY rank <= 32)"""
 FUSED = """
 routes AS (SELECT query_id, source_id, 'lexical' AS route, rank FROM lexical UNION ALL SELECT query_id, source_id, 'dense', rank FROM dense),

@@ -52,7 +52,7 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 40
+    assert __spark_entry__.entry(spark).count() == 320  # 40 questions, 8 sources each
 
 
 def test_words_are_a_set_without_stop_words(spark):
@@ -167,6 +167,62 @@ def test_closure_of_a_cycle_ends(spark):
     assert catalogue.closure(tree).where("node = 'd'").count() == 4
 
 
+def test_closure_of_a_deep_tree_is_whole(spark):
+    n = 24
+    tree = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}" if i + 1 < n else None) for i in range(n)], "node string, parent string")
+    start = spark.createDataFrame([("n00",)], "node string")
+    assert {r["ancestor"] for r in catalogue.closure(tree, start).collect()} == {f"n{i:02}" for i in range(n)}
+
+
+def test_neighbours_of_dirty_sources_are_those_of_all(spark):
+    x = np.random.default_rng(3).normal(size=(40, 6))
+    v = spark.createDataFrame([(i, x[i].tolist(), None) for i in range(40)], "source_id long, vector array<double>, groups array<string>")
+    dirty = v.where("source_id % 7 = 0")
+    got = {(r["source_id"], r["rank"]): r["target_id"] for r in neighbors.lanes(v, 5, False, block=9, asked=dirty).collect()}
+    assert got == {(r["source_id"], r["rank"]): r["target_id"] for r in neighbors.knn(v, 5).collect() if r["source_id"] % 7 == 0}
+
+
+def test_labels_of_string_ids_and_of_many_communities(spark):
+    edges = [(f"a{i}", f"a{j}", 1.0) for i in range(4) for j in range(i)] + [(f"b{i}", f"b{j}", 1.0) for i in range(4) for j in range(i)]
+    got = {r["node"]: r["label"] for r in community.label_propagation(spark.createDataFrame(edges, "left_id string, right_id string, score double")).collect()}
+    assert len({got[f"a{i}"] for i in range(4)}) == 1 and got["a0"] != got["b0"]
+    rows = [(c, f"w{c} x{c % 97} y{k}", 1.0 + (c * 7 + k) % 11) for c in range(10_000) for k in range(3)]
+    chosen = labels.assign(rows)
+    assert len(chosen) == 10_000 and len(set(chosen.values())) == 10_000
+
+
+def test_labels_are_given_as_by_looking_at_all(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(c, " ".join(rng.sample(words, 3)), round(rng.random(), 3)) for c in range(15) for _ in range(6)]
+    stop, left, want = set(tx.STOP_WORDS), {}, {}
+    for c, p, s in rows:
+        left.setdefault(c, []).append((p, s))
+
+    def near(p):
+        a, most = set(p.split()) - stop, 0.0
+        for q in want.values():
+            b = set(q.split()) - stop
+            most = max(most, 1.0 if a <= b or b <= a else len(a & b) / len(a | b))
+        return most
+
+    while left:
+        options = [(-(s * (1 - 0.65 * near(p))), str(c), p, c) for c, o in left.items() for p, s in o if near(p) < 0.8]
+        if not options:
+            break
+        _, _, p, c = min(options)
+        want[c] = p
+        del left[c]
+    assert labels.assign(rows) == want
+
+
+def test_dense_scores_in_blocks_of_questions(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTORS_SENT", 3)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "source_id long, vector array<double>")
+    got = {(r["query_id"], r["source_id"]): r["score"] for r in retrieval.dense_scores(v, v.withColumnRenamed("source_id", "query_id")).collect()}
+    assert got == {(a, b): a * b + 1.0 for a in range(10) for b in range(10)}
+
+
 def test_diff_has_one_row_a_change(spark):
     old = spark.createDataFrame([(1, "a", "p"), (2, "a", "p"), (3, "a", "p"), (4, None, "p")], "k int, c string, p string")
     new = spark.createDataFrame([(2, "b", "q"), (3, "a", "q"), (4, None, "p"), (5, "a", "p")], "k int, c string, p string")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache holds before it is emptied; bounds the memory of a Python worker.
 CACHE_ENTRIES = 350_000
 
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()  # where written tables are
 _OWN: list = []  # keeps a test session's temporary folder until Python ends
 
 
@@ -32,7 +39,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, _PATHS.pop(df)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as ``doc`` with ``key``: the hash of a row's file and its number there, the same at each reading.
+
+    Rows that do not come from such files as they are (a table in memory, a shuffle) are written first.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.select(F.struct("*").alias("doc"), F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row")).alias("key"))
+    except AnalysisException:
+        return placed(written(docs, "rows"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done, whose results are in written tables."""
+    for _ in range(2):  # the first lets go of plans, the second of the shuffles that they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def packed_ints(x: np.ndarray) -> bytes:
+    """Unsigned integers, byte by byte in planes, compressed: high bytes that are zero take no place."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_ints(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).reshape(n)
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 200) -> DataFrame:
-    """node, label (the smallest node that it is connected with) of all nodes of edges.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, label (the smallest node that it is connected with) of all nodes of edges that have two ends.
 
-    Labels spread along edges in rounds, each written to the shared folder; a round only looks at nodes that
-    changed in the last one. Offers are added up in each task before they are shuffled, and the join's two sides are
-    plain shuffles, so Spark splits a node of very many edges. Callers give few edges a text and short ways (stars).
+    Large-star and small-star in turns: every edge points from a larger to a smaller node; a large-star leads it to
+    the smallest node that its lower end points to, a small-star ties all that a node points to to the smallest of
+    them. The number of rounds grows with the logarithm of a path's length, and rounds go on until nothing changes.
+    Minima are added up in each task before the shuffle; joins are plain ones, so that Spark splits a hot node.
     """
-    both = written(edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
-    labels = written(both.groupBy("node").agg(F.min("to").alias("low")).select("node", F.least("node", "low").alias("label"), (F.col("low") < F.col("node")).alias("fresh")), "labels")
-    for _ in range(most):
-        sent = labels.where("fresh").join(both, "node").groupBy(F.col("to").alias("node")).agg(F.min("label").alias("offer"))
-        step = labels.join(sent, "node", "left").select("node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("fresh"))
-        labels = written(step, "labels")
-        if not labels.agg(F.bool_or("fresh")).head()[0]:
-            return labels.select("node", "label")
-    raise RuntimeError(f"labels still change after {most} rounds")
+    ends = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi != lo").distinct()
+    now, mark = written(ends, "edges"), None
+    while True:
+        low = now.groupBy("hi").agg(F.min("lo").alias("low"))
+        large = written(now.join(low.withColumnRenamed("hi", "lo"), "lo", "left").select("hi", F.coalesce("low", "lo").alias("lo")).distinct(), "edges")
+        dropped(now)
+        low = large.groupBy("hi").agg(F.min("lo").alias("low"))
+        tied = large.where("hi != lo").join(low, "hi").where("lo != low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+        now = written(tied.union(low.select("hi", "low")).distinct(), "edges")
+        dropped(large)
+        last, mark = mark, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).head())
+        if mark == last:
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(now.select("lo", "lo").distinct())

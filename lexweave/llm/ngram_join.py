@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import placed, release, written
 from .components import components
 from .shingles import MinHash, mixed, shingle_hashes
 
@@ -33,8 +32,8 @@ THRESHOLD = 0.8
 VALUES, ROWS, BANDS = 256, 6, 42
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
-#: Texts in a block of a large component; texts of small components that one group holds.
-BLOCK, GROUP = 384, 768
+#: Texts in a block of a large component; texts of small components that one group holds; shingles that count as a text.
+BLOCK, GROUP, LONG = 384, 768, 2000
 
 
 def fewest_equal(threshold: float, tolerance: float, values: int = VALUES, step: int = STEP) -> list[int]:
@@ -102,17 +101,17 @@ def links(a_sig, a_sets, b_sig, b_sets, same: bool, threshold: float, fewest: li
 
 
 def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as ``doc`` with ``rid`` (a number of each row), ``fp`` (the shingle set, null if empty) and ``bands``, written."""
-    base = docs.select(F.struct("*").alias("doc"))
-    at = docs.columns.index(text_col)
+    """key (see placed), id, fp (of the shingle set, null if it is empty), size and bands of each row, written."""
+    base = docs.select("key", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(VALUES)
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for b in batches:
-            fps, bands = [], []
-            for t in b.column(0).field(at):
+            fps, sizes, bands = [], [], []
+            for t in b.column(2):
                 s = shingle_hashes(t.as_py())
+                sizes.append(len(s))
                 if not len(s):
                     fps.append(None)
                     bands.append([])
@@ -123,60 +122,98 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for r in range(ROWS):
                     key = mixed(key ^ (values[:, r] + np.uint64(r + 1)))
                 bands.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["key", "id", "fp", "size", "bands"])
 
-    schema = T.StructType([*base.schema.fields, T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return written(base.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "texts").withColumns({"id": F.col(f"doc.`{id_col}`"), "body": F.col(f"doc.`{text_col}`")})
+    more = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return written(base.mapInArrow(run, T.StructType([*base.drop("text").schema.fields, *more])), "texts")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs as ``doc``, with class_id, n_links and kept (one row of each class).
+def candidates(reps: DataFrame) -> DataFrame:
+    """node, label: the candidate components of more than one text. Bands tie each text to the smallest one of the band.
 
-    Two rows are linked if the Jaccard similarity of their shingle sets is at least the threshold; class_id is the
-    smallest id that links lead to, n_links the number of other rows linked directly. Null and blank texts have
-    no shingles and are linked with nothing. Null ids come last in the order; repeated rows are copies like others.
+    Band minima are added up before they are shuffled, and bands of one text go before the join.
     """
-    rows = rows_of(docs, id_col, text_col)
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    reps = written(rows.where("fp is not null").groupBy("fp").agg(F.min(order).alias("rep"), F.count("*").alias("copies")), "reps")
-    # candidates: each text and the smallest one of its band; never all pairs
-    keyed = rows.where("fp is not null").select("rid", "bands").join(reps.select(F.col("rep.rid").alias("rid"), "rep"), "rid").select("rep", F.explode("bands").alias("band"))
-    near = keyed.withColumn("low", F.min("rep").over(Window.partitionBy("band"))).where(F.col("rep.rid") != F.col("low.rid")).select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    nodes = components(near)
-    sizes = written(nodes.groupBy("label").agg(F.count("*").alias("n")), "sizes")
-    large = sizes.where(F.col("n") > GROUP)
-    # at most one row for GROUP texts; checked, and joined by a shuffle beyond that
-    large = F.broadcast(large) if large.count() <= 50_000 else large
-    total = nodes.count()
-    placed = (
-        nodes.join(large, "label", "left")
-        .withColumn("blocks", F.when(F.col("n").isNotNull(), F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int"))
-        .select("node", "label", "blocks", F.pmod(F.xxhash64("node.rid"), F.greatest("blocks", F.lit(1))).cast("int").alias("block"))
-    )
-    texts = placed.withColumn("rid", F.col("node.rid")).join(rows.select("rid", "body", "fp"), "rid").join(reps.select("fp", "copies"), "fp")
-    loaded = texts.select("node", "label", "blocks", "block", "copies", "body")
+    keyed = reps.select(F.col("rep.key").alias("node"), F.explode("bands").alias("band"))
+    lows = keyed.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    near = keyed.join(lows.hint("merge"), "band").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return components(near)
+
+
+def dealt(reps: DataFrame, nodes: DataFrame, block: int, group: int) -> DataFrame:
+    """no, rep, copies, part, blocks, block of each candidate: a large component is cut into blocks, written.
+
+    Blocks are bounded in texts and in shingles: very long texts count for several.
+    """
+    known = written(nodes.join(reps.select(F.col("rep.key").alias("node"), "rep", "copies", "size"), "node"), "candidates")
+    weight = F.greatest(F.lit(1.0), F.col("size") / LONG)
+    sizes = known.groupBy("label").agg(F.sum(weight).alias("n")).where(F.col("n") > group)
+    out = known.join(sizes, "label", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(0)).cast("int"))
+    spread = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int")
+    return written(out.select(F.monotonically_increasing_id().alias("no"), "node", "rep", "copies", weight.alias("weight"), F.xxhash64("label").alias("part"), "blocks", spread.alias("block")), "dealt")
+
+
+def compared(docs: DataFrame, nodes: DataFrame, threshold: float, group: int, text_col: str) -> DataFrame:
+    """no, next, links: each candidate's number of linked rows in a tile and the candidate that it hangs on, written."""
+    # texts of candidates only; both sides are shuffled, and on large tables Spark filters the texts by a Bloom filter first
+    texts = docs.select(F.col("key").alias("node"), F.col(f"doc.`{text_col}`").cast("string").alias("body"))
+    loaded = nodes.select("node", "no", "part", "blocks", "block", "copies").hint("merge").join(texts, "node").drop("node")
     pairs = loaded.mapInArrow(_payload, T.StructType([*loaded.drop("body").schema.fields, T.StructField("sig", T.BinaryType()), T.StructField("hashes", T.BinaryType())]))
-    small_groups = max(1, math.ceil(total / GROUP))
-    other = F.explode(F.when(F.col("blocks") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).alias("other")
-    dealt = (
-        pairs.select("*", other)
-        .withColumn("tile", F.when(F.col("blocks") > 0, F.struct(F.col("label.rid").alias("of"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))).otherwise(F.struct(F.pmod(F.xxhash64("label.rid"), F.lit(small_groups)).alias("of"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))))
-        .select("tile", F.col("node.rid").alias("rid"), F.col("label.rid").alias("part"), "block", "copies", "sig", "hashes")
-    )
-    found = written(dealt.groupBy("tile").applyInPandas(_tile(threshold), "rid long, next long, links long"), "links")
-    counted = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    index = reps.select(F.col("rep.rid").alias("rid"), "rep")
-    ends = found.where("next is not null").select("rid", F.col("next").alias("to")).distinct()
-    named = ends.join(index, "rid").select(F.col("rep").alias("a"), F.col("to").alias("rid")).join(index, "rid").select("a", F.col("rep").alias("b"))
-    joined = components(named)
+    small = max(1, math.ceil((nodes.where("blocks = 0").agg(F.sum("weight")).head()[0] or 0) / group))
+    other = F.explode(F.when(F.col("blocks") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))).alias("other")
+    whole = F.col("blocks") == 0
+    tiles = pairs.select("*", other).select(
+        F.when(whole, F.pmod("part", F.lit(small))).otherwise(F.col("part")).alias("of"),
+        F.when(whole, -1).otherwise(F.least("block", "other")).alias("lo"),
+        F.when(whole, -1).otherwise(F.greatest("block", "other")).alias("hi"),
+        "no", "part", "block", "copies", "sig", "hashes",
+    )
+    return written(tiles.groupBy("of", "lo", "hi").applyInPandas(_tile(threshold), "no long, next long, links long"), "links")
+
+
+def joined(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int | None = None, group: int | None = None) -> DataFrame:
+    """key, id, class_id, n_links, kept of each row of placed documents; see ``classes``. Texts travel for candidates only."""
+    block, group, spark = block or BLOCK, group or GROUP, docs.sparkSession
+    rows = rows_of(docs, id_col, text_col)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    reps = rows.where("fp is not null").groupBy("fp").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = written(reps, "reps")
+    nodes = dealt(reps, candidates(reps), block, group)
+    release(spark)
+    found = compared(docs, nodes, threshold, group, text_col)
+    release(spark)
+    index = nodes.select("no", "rep")
+    ends = found.where("next is not null").select("no", F.col("next").alias("to")).distinct()
+    named = ends.join(index, "no").select(F.col("rep").alias("a"), F.col("to").alias("no")).join(index, "no").select("a", F.col("rep").alias("b"))
+    labels = components(named).select(F.col("node.key").alias("key"), "label")
+    counted = found.groupBy("no").agg(F.sum("links").alias("links")).join(index, "no").select(F.col("rep.key").alias("key"), "links")
     info = (
-        reps.join(joined.select(F.col("node.rid").alias("rid"), "label"), F.col("rep.rid") == F.col("rid"), "left").drop("rid")
-        .join(counted, F.col("rep.rid") == F.col("rid"), "left")
+        reps.select("fp", "rep", "copies", F.col("rep.key").alias("key")).join(labels, "key", "left").join(counted, "key", "left")
         .select("fp", F.coalesce("label", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     # only what differs from a text alone is joined back; both sides are plain tables, so a hot key can be split
     info = written(info.where("n_links > 0"), "info")
-    return rows.select("doc", "id", "rid", "fp").join(info, "fp", "left").select("doc", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("root.rid") == F.col("rid"), F.lit(True)).alias("kept"))
+    out = rows.select("key", "id", "fp").join(info, "fp", "left")
+    return out.select("key", "id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("root.key") == F.col("key"), F.lit(True)).alias("kept"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs as ``doc``, with class_id, n_links and kept (one row of each class).
+
+    Two rows are linked if the Jaccard similarity of their shingle sets is at least the threshold; class_id is the
+    smallest id that links lead to, n_links the number of other rows linked directly. Null and blank texts have
+    no shingles and are linked with nothing. Null ids come last in the order; repeated rows are copies like others.
+    An empty table gives no rows; other columns are carried along and never looked at.
+    """
+    rows = placed(docs)
+    return rows.join(joined(rows, threshold, id_col, text_col).hint("merge"), "key").select("doc", "class_id", "n_links", "kept")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that ``classes`` keeps, with all their columns."""
+    rows = placed(docs)
+    gone = written(joined(rows, threshold, id_col, text_col).where("not kept").select("key"), "gone")
+    release(docs.sparkSession)
+    return rows.join(gone.hint("merge"), "key", "left_anti").select("doc.*")
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +229,9 @@ def _tile(threshold: float):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
-        lo, hi = key[0]["lo"], key[0]["hi"]
+        _, lo, hi = key
         for _, part in rows.groupby("part", sort=False):
-            part = part.drop_duplicates("rid").sort_values("rid").reset_index(drop=True)
+            part = part.drop_duplicates("no").sort_values("no").reset_index(drop=True)
             sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, VALUES)
             sets = [np.frombuffer(h, np.uint64) for h in part["hashes"]]
             if lo == hi:
@@ -205,11 +242,11 @@ def _tile(threshold: float):
                 i, j = a[i], b[j]
             if not len(i):
                 continue
-            rid, copies = part["rid"].to_numpy(), part["copies"].to_numpy()
-            n = np.bincount(i, copies[j], len(rid)).astype(np.int64) + np.bincount(j, copies[i], len(rid)).astype(np.int64)
-            follow = stars(len(rid), i, j)
-            out.append(pd.DataFrame({"rid": rid, "next": pd.array([None if f < 0 else rid[f] for f in follow], "Int64"), "links": n})[n > 0])
-        return pd.concat(out) if out else pd.DataFrame({"rid": [], "next": pd.array([], "Int64"), "links": []})
+            no, copies = part["no"].to_numpy(), part["copies"].to_numpy()
+            n = np.bincount(i, copies[j], len(no)).astype(np.int64) + np.bincount(j, copies[i], len(no)).astype(np.int64)
+            follow = stars(len(no), i, j)
+            out.append(pd.DataFrame({"no": no, "next": pd.array([None if f < 0 else no[f] for f in follow], "Int64"), "links": n})[n > 0])
+        return pd.concat(out) if out else pd.DataFrame({"no": [], "next": pd.array([], "Int64"), "links": []})
 
     return run
 
@@ -232,4 +269,4 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, n_links of each row of docs (see classes); an empty table gives none, extra columns are not read."""
-    return classes(docs.select("doc_id", "text"), threshold).select("doc.doc_id", "class_id", "n_links")
+    return joined(placed(docs.select("doc_id", "text")), threshold).select(F.col("id").alias("doc_id"), "class_id", "n_links")

@@ -23,8 +23,8 @@ from .vectors import blocks, matrix, numbered
 THRESHOLD = 0.95
 #: Vectors in a block, and rows of one of a tile's two blocks that are multiplied at a time.
 BLOCK, ROWS = 8192, 1024
-#: More than the rounding of a product of up to some thousands of terms in single precision.
-ROUNDING = 1e-4
+#: Dimensions whose int8 products add up exactly in single precision: 127 * 127 * 1024 < 2 ** 24.
+EXACT = 1024
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,24 +39,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bounded(x: np.ndarray, left: bool, worst: float) -> np.ndarray:
-    """Quantised vectors with two more columns, so that a product is the upper bound of the cosine."""
-    q, scale, error = quantised(x)
-    margin = error * (1 + worst)
-    ones = np.ones(len(x))
-    more = (margin, ones) if left else (ones, margin)
-    return np.column_stack([q.astype(np.float32) * scale[:, None], *more]).astype(np.float32)
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of int8 rows, exact: whole numbers that single precision holds, added in double beyond EXACT dimensions."""
+    parts = [a[:, k : k + EXACT].astype(np.float32) @ b[:, k : k + EXACT].astype(np.float32).T for k in range(0, a.shape[1], EXACT)]
+    return parts[0] if len(parts) == 1 else sum(p.astype(np.float64) for p in parts)
 
 
 def tile_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y) of unit vectors with a cosine of at least the threshold; same: x is y, each pair once."""
-    worst = float(quantised(y)[2].max(initial=0))
-    right = bounded(y, False, worst).T.copy()
+    """Pairs (row of x, row of y) of unit vectors with a cosine of at least the threshold; same: x is y, each pair once.
+
+    The cosine is at most s t (q r) + e + f + e f, so a pair that the whole number q r leaves below is not computed.
+    """
+    (q, s, e), (r, t, f) = quantised(x), quantised(y)
+    slack = 1e-12 * x.shape[1]  # of the double precision in which e, f and cosines themselves are computed
     a, b = [], []
     for at in range(0, len(x), ROWS):
         start = at if same else 0
-        upper = bounded(x[at : at + ROWS], True, worst) @ right[:, start:]
-        i, j = np.divmod(np.flatnonzero(upper >= threshold - ROUNDING), upper.shape[1])
+        own = slice(at, at + ROWS)
+        upper = products(q[own], r[start:]).astype(np.float64)
+        upper *= s[own, None]
+        upper *= t[None, start:]
+        upper += f[None, start:] * (1 + e[own, None])
+        upper += e[own, None]
+        i, j = np.divmod(np.flatnonzero(upper >= threshold - slack), upper.shape[1])
         i, j = i + at, j + start
         if same:
             i, j = i[i < j], j[i < j]

@@ -4,7 +4,8 @@ Errors parallel to a vector change the inner products that matter most, so they
 with the residual r of x, the loss is |r|^2 + (eta - 1) (r x)^2 / |x|^2. Codebooks of 16 centres a subspace are
 fitted on a bounded sample; every vector is encoded by coordinate descent on that loss, four bits a subspace.
 A query's tables hold its inner products with the centres; scanning the codes adds up table entries, two subspaces
-a byte. The best are ranked again by exact inner products in double precision.
+a byte. Queries travel to blocks of codes; the best of all blocks are ranked again by exact inner products of the
+original vectors, which are fetched for them alone.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ WIDTH, CENTRES, FROM = 2, 16, 0.2
 NEIGHBOURS = 20
 #: Vectors of an index block, queries of a query block.
 BLOCK, QUERIES = 65_536, 512
-#: Candidates of a query and block that are ranked exactly at first; more if the scan leaves it open.
-RERANK = 1024
+#: Candidates of a query, of all blocks, that are ranked exactly, whatever the table's size.
+RERANK = 400
 
 
 @dataclass
@@ -129,32 +130,26 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, rids: np.ndarray, codes: np.ndarray, model: Quantiser, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, rows, scores) of each query's k best rows of a block but its own, best first, ties to the smaller id."""
-    n, d = x.shape
-    noise = 3 * model.spread * float(np.sqrt((x**2).sum(axis=1).max(initial=0))) / np.sqrt(d)
-    rough = scan(codes, model.tables(q))
-    lengths = np.sqrt((q**2).sum(axis=1))
-    for i in range(len(q)):
-        take = min(n, RERANK)
-        while True:
-            top = np.argpartition(rough[i], n - take)[n - take :] if take < n else np.arange(n)
-            top = top[rids[top] != own[i]]
-            score = x[top] @ q[i]
-            order = np.lexsort((ids[top], -score))[:k]
-            # what was not taken scores at most this, but for rare errors
-            if take == n or (len(order) == k and rough[i][top].min() + noise * lengths[i] < score[order[-1]]):
-                break
-            take = min(n, 4 * take)
-        yield i, top[order], score[order]
-
-
-def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int = SAMPLE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def best(rough: np.ndarray, keys: np.ndarray, own: np.ndarray, rids: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """For each query (row of rough) the rows of a block of the ``most`` best scores, of equal ones the smaller ids, without its own."""
+    for score, me in zip(rough, own, strict=True):
+        score[rids == me] = -np.inf
+        if most < len(score):
+            least = np.partition(score, len(score) - most)[len(score) - most]
+            sure, even = np.flatnonzero(score > least), np.flatnonzero(score == least)
+            top = np.concatenate([sure, even[np.argsort(keys[even], kind="stable")[: most - len(sure)]]])
+        else:
+            top = np.arange(len(score))
+        yield top[score[top] > -np.inf]
+
+
+def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int = SAMPLE, block: int = BLOCK, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose id is divisible by ``every`` the k rows of largest inner product.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part; a query meets vectors
     of its own dimension. A null id is never a query and comes last among ties. Rows with equal ids are rows of
-    their own. A table without queries gives no rows; extra columns are not read.
+    their own. A table without queries gives no rows; extra columns are not read. Scores are summed in the order of
+    the dimensions, so equal vectors have equal scores and ties go to the smaller id.
     """
     rows = numbered(table, id_col, vector_col)
     good = rows.where("d is not null")
@@ -169,32 +164,35 @@ def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int =
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [models[t["d"]].packed(models[t["d"]].encode(matrix(t["data"], t["n"], t["d"]))).tobytes() for t in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*batch.schema.names, "codes"])
+            kept = [c for c in batch.schema.names if c != "data"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(codes, pa.binary())], [*kept, "codes"])
 
     # every vector is encoded once, when the index is made
-    index = written(packed.mapInArrow(coded, T.StructType([*packed.schema.fields, T.StructField("codes", T.BinaryType())])), "index")
+    index = written(packed.mapInArrow(coded, T.StructType([*(f for f in packed.schema.fields if f.name != "data"), T.StructField("codes", T.BinaryType())])), "index")
     asked = blocks(rows.where((F.col("id") % every) == 0), QUERIES)
 
-    # queries against all rows: each pair of an index block and a query block is one row of two packed blocks
-    count = asked.groupBy("d").agg(F.max("blocks").alias("asked"))
-    left = index.join(F.broadcast(count), "d").select("d", "n", "ids", "none", "rids", "data", "codes", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("part"))
-    right = asked.select("d", F.col("block").alias("part"), F.col("n").alias("n_q"), F.col("ids").alias("ids_q"), F.col("rids").alias("rids_q"), F.col("data").alias("data_q"))
-    pairs = left.join(right, ["d", "part"])
+    # queries against all rows: a block of queries goes to each block of codes
+    count = index.groupBy("d").agg(F.max("blocks").alias("all"))  # one row for each dimension
+    sent = asked.join(F.broadcast(count), "d").select("d", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("block"), F.col("n").alias("n_q"), F.col("rids").alias("rids_q"), F.col("data").alias("data_q"))
+    pairs = index.select("d", "block", "n", "ids", "none", "rids", "codes").join(sent, ["d", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.to_pylist():
-                model = models[t["d"]]
-                x, q = matrix(t["data"], t["n"], t["d"]), matrix(t["data_q"], t["n_q"], t["d"])
-                none, ids = np.frombuffer(t["none"], bool), np.frombuffer(t["ids"], "<i8")
-                keys = np.where(none, np.iinfo(np.int64).max, ids)
-                rids, asked_ids, asked_rids = np.frombuffer(t["rids"], "<i8"), np.frombuffer(t["ids_q"], "<i8"), np.frombuffer(t["rids_q"], "<i8")
-                codes = np.frombuffer(t["codes"], np.uint8).reshape(-1, t["n"])
-                found = list(nearest(x, keys, rids, codes, model, q, asked_rids, k))
-                rows_of = np.concatenate([f[1] for f in found])
-                i = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(asked_rids[i]), pa.array(asked_ids[i]), pa.array(ids[rows_of], mask=none[rows_of]), pa.array(np.concatenate([f[2] for f in found]))], ["query", "query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query long, query_id long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                none, ids, rids = np.frombuffer(t["none"], bool), np.frombuffer(t["ids"], "<i8"), np.frombuffer(t["rids"], "<i8")
+                keys, own = np.where(none, np.iinfo(np.int64).max, ids), np.frombuffer(t["rids_q"], "<i8")
+                codes, q = np.frombuffer(t["codes"], np.uint8).reshape(-1, t["n"]), matrix(t["data_q"], t["n_q"], t["d"])
+                for at in range(0, len(q), 64):
+                    rough = scan(codes, models[t["d"]].tables(q[at : at + 64]))
+                    top = list(best(rough.copy(), keys, own[at : at + 64], rids, rerank))
+                    i, j = np.repeat(np.arange(len(top)), [len(x) for x in top]), np.concatenate(top)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(rids[j]), pa.array(ids[j], mask=none[j]), pa.array(rough[i, j])], ["query", "rid", "vec_id", "rough"])
+
+    first = Window.partitionBy("query").orderBy(F.desc("rough"), F.col("vec_id").asc_nulls_last(), "rid")
+    found = pairs.mapInArrow(run, "query long, rid long, vec_id long, rough float").withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank)
+    originals = rows.select("rid", "x")
+    queries = rows.where((F.col("id") % every) == 0).select(F.col("rid").alias("query"), F.col("id").alias("query_id"), F.col("x").alias("q"))
+    score = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
+    exact = found.select("query", "rid", "vec_id").join(originals, "rid").join(queries, "query").select("query", "query_id", "vec_id", "rid", score.alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

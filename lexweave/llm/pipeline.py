@@ -34,17 +34,26 @@ def keep_where(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores below 0.5; a null text is an empty one. Without labels nothing is toxic.
+
+    Repeated rows fare alike, null ids are never learned from, an empty table gives none, other columns are carried along.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    terms, fuzzy, weights = model.terms, model.fuzzy, model.weights
+    terms, fuzzy, weights, context = model.terms, model.fuzzy, model.weights, model.context
 
     def make() -> Callable[[str | None], bool]:
-        own = toxicity.Model(terms, fuzzy, weights)
+        own = toxicity.Model(terms, fuzzy, weights, context)
         return lambda t: own.score(t or "") < 0.5
 
     return keep_where(docs, "text", make)
 
 
 def drop_unsure_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is predicted with SURE or more. Texts that are null or have no letter are undetermined and go,
+    and so do all if there is no language to learn from.
+
+    Repeated rows fare alike; of equally likely languages the first by name counts; other columns are carried along.
+    """
     model = language_id.fit(language_id.training_rows(docs))
 
     def good(t: str | None) -> bool:
@@ -55,10 +64,15 @@ def drop_unsure_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate class, the one of smallest id; null ids come last, of repeated rows one stays.
+
+    Null and blank texts are like no other and stay. All columns are carried along.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each piece's place, see packing.pack: null texts are empty ones, null ids and repeated rows are packed like others."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json").read_text(encoding="utf-8"))
 
 

@@ -2,10 +2,11 @@
 
 A lexicon of words and word stems is learned from labelled documents: candidates that are far more frequent in
 toxic ones, then a greedy cover that takes a term only for documents that no earlier term explains, so words
-that merely come along in copies of a document stay out. The trie of the lexicon and the Levenshtein automata of
+that merely come along in copies of a document stay out. A likelihood test alone sets its size. The trie of the lexicon and the Levenshtein automata of
 its terms are walked together; a state of the product is a set of (trie node, errors), made on demand.
-Around each match a window of words is scored for signs of quotation. Matches by kind (exact or misspelled, open
-or quoted) are the inputs of a logistic regression.
+Around each match a window is scored: marks and words of reporting speak for a quotation, and the words that
+training windows of toxic or of clean documents have more often weigh for or against it. Matches by kind (exact or
+misspelled), shared between abuse and quotation by that score, are the inputs of a logistic regression.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .shingles import shingle_hashes
 
 #: Labelled documents that the lexicon and the weights are fitted on, half of each label: the documented bound.
 SAMPLE = 8000
-#: Candidate terms before the cover, and terms of the lexicon.
-CANDIDATES, TERMS = 2000, 200
+#: Terms that a table too small for any sure term may choose from.
+UNSURE = 20
+#: What a sign of quotation, or its absence, weighs in the score of a window; the most that a word weighs.
+SIGN, WORD_WEIGHT = 4.0, 3.0
 WORD = re.compile(r"[^\W_]+")
 STEMS = range(4, 9)
 #: Words on each side of a match that its context is read from.
@@ -131,14 +134,15 @@ class Model:
     terms: list[str]
     fuzzy: frozenset[int] | None = None
     weights: tuple[float, ...] = (0.0,) * 5  # of the four kinds of matches, then the bias
+    context: dict[str, float] = field(default_factory=dict)  # words of a window: above 0 they speak for abuse
 
     def __post_init__(self) -> None:
         self.machine = Automaton(self.terms, self.fuzzy)
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[int, int]] = {}
 
-    def matches(self, text: str) -> list[tuple[int, int, int, bool]]:
-        """(position, term, errors, quoted) of each word of a text that stands for a term."""
+    def matches(self, text: str) -> list[tuple[int, int, int, bool, list[str]]]:
+        """(position, term, errors, whether marks or words of reporting are near, window) of each word that stands for a term."""
         text = text.lower()
         words = WORD.findall(text)
         own = set(words)
@@ -157,15 +161,23 @@ class Model:
         for i, m in enumerate(WORD.finditer(text)):
             if hit := self.hits.get(m.group()):
                 near = text[max(0, m.start() - 80) : m.start()], text[m.end() : m.end() + 80]
-                out.append((i, *hit, quoted(*near) or not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])))
+                window = words[max(0, i - WINDOW) : i] + words[i + 1 : i + WINDOW + 1]
+                out.append((i, *hit, quoted(*near) or not REPORTING.isdisjoint(window), window))
         return out
 
     def inputs(self, text: str) -> np.ndarray:
         x = np.zeros(4)
-        for _, _, e, inside in self.matches(text):
-            x[2 * (e > 0) + inside] += 1
+        for _, _, e, sign, window in self.matches(text):
+            q = self.quotation(sign, window)
+            x[2 * (e > 0)] += 1 - q
+            x[2 * (e > 0) + 1] += q
         return np.minimum(x, 3)
 
+    def quotation(self, sign: bool, window: list[str]) -> float:
+        """How likely a match in this window is quoted, 0 to 1."""
+        z = (SIGN if sign else -SIGN) - sum(self.context.get(w, 0.0) for w in set(window))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
     def score(self, text: str) -> float:
         if not self.terms:
             return 0.0
@@ -227,9 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     gain = F.col("yes") * F.log(F.col("yes") / (n * share)) + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / (n * (1 - share)))).otherwise(0.0)
     tried = math.log(max(2, counts.where("yes + no >= 2").count())) + 2
     rated = counts.where("term != '' and yes >= 2").withColumn("sure", gain).where(F.col("yes") > n * share)
-    found = rated.where(F.col("sure") > tried).orderBy(F.desc("sure"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+    found = rated.where(F.col("sure") > tried).orderBy(F.desc("sure"), F.desc(F.length("term")), "term").collect()  # of a bounded sample
     if not found:  # too few rows to be sure of any term
-        found = rated.where("no = 0").orderBy(F.desc("sure"), F.desc(F.length("term")), "term").limit(20).collect()
+        found = rated.where("no = 0").orderBy(F.desc("sure"), F.desc(F.length("term")), "term").limit(UNSURE).collect()
     if not found:
         return Model([])
     names = [r["term"] for r in found]
@@ -245,12 +257,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     machine = Model(terms)
 
     def misspelled(text: str) -> set[str]:
-        return {str(t) for _, t, e, _ in machine.matches(text) if e}
+        return {str(t) for _, t, e, *_ in machine.matches(text) if e}
 
     wrong = counted(rows, "misspelled", misspelled).where("term != ''").collect()
     # misspellings of a term count unless they are as usual in clean documents
     bad = {int(r["term"]) for r in wrong if (r["yes"] + 0.5) / n_yes < 4 * (r["no"] + 0.5) / n_no}
-    model = Model(terms, frozenset(range(len(terms))) - bad)
+    fuzzy = frozenset(range(len(terms))) - bad
+    plain = Model(terms, fuzzy)
+
+    def near(text: str) -> set[str]:
+        found = plain.matches(text)
+        return {w for *_, window in found for w in window} | ({" "} if found else set())
+
+    model = Model(terms, fuzzy, context=context_weights(counted(rows, "context", near)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,7 +293,7 @@ def cover(have: list[tuple[np.ndarray, int]], names: list[str], odds: float) ->
     least = max(3, min(10, 0.02 * len(yes)))
     chosen: list[int] = []
     open_docs = set(range(len(yes)))
-    while gain and len(chosen) < TERMS:
+    while gain:
         value = {i: n - 4 * odds * cost[i] for i, n in gain.items() if n > 0}
         if not value:
             break
@@ -288,11 +307,27 @@ def cover(have: list[tuple[np.ndarray, int]], names: list[str], odds: float) ->
         open_docs -= of[best]
     # terms that are as pure as those chosen and frequent, though earlier ones explain their documents
     for i, docs in of.items():
-        if i not in chosen and not names[i].endswith("*") and len(docs) >= max(least, 0.05 * len(yes)) and not cost[i] and len(chosen) < TERMS:
+        if i not in chosen and not names[i].endswith("*") and len(docs) >= max(least, 0.05 * len(yes)) and not cost[i]:
             chosen.append(i)
     return chosen
 
 
+def context_weights(counts: DataFrame) -> dict[str, float]:
+    """Log odds of words of windows (the blank term counts all documents that have one), of those whose odds are surely not even."""
+    rows = counts.where("term != ''").withColumn("n", F.col("yes") + F.col("no")).where("n >= 5").collect()  # of a bounded sample
+    whole = next((r for r in rows if r["term"] == " "), None)
+    if whole is None or not whole["yes"] or not whole["no"]:
+        return {}
+    share, tried = whole["yes"] / whole["n"], math.log(max(2, len(rows))) + 2
+    out = {}
+    for r in rows:
+        sure = sum(k * math.log(k / (r["n"] * s)) for k, s in ((r["yes"], share), (r["no"], 1 - share)) if k)
+        if r["term"] != " " and sure > tried:
+            odds = math.log((r["yes"] + 0.5) / (whole["yes"] + 1)) - math.log((r["no"] + 0.5) / (whole["no"] + 1))
+            out[r["term"]] = max(-WORD_WEIGHT, min(WORD_WEIGHT, odds))
+    return out
+
+
 def regression(x: np.ndarray, y: np.ndarray, decay: float = 0.02, steps: int = 60) -> tuple[float, ...]:
     """Logistic regression by Newton steps with a small quadratic penalty; labels weigh alike."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -309,7 +344,7 @@ def regression(x: np.ndarray, y: np.ndarray, decay: float = 0.02, steps: int = 6
             break
     # kinds of matches that training never saw: quoted, misspelled, both
     for kind, share in ((1, 0.4), (2, 0.95), (3, 0.3)):
-        if not x[:, kind].any():
+        if x[:, kind].max(initial=0) < 0.5:
             w[kind] = share * max(w[0], 0.0)
     return tuple(map(float, w))
 
@@ -319,7 +354,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     Learns from at most about ``sample`` labelled rows whose crc32 of the id modulo 5 is not 0. A null or empty
     text has no match and gets the score that this has. Without labels to learn from every score is 0. A null id
-    counts as held out. Repeated rows give repeated rows, an empty table none; extra columns are not read.
+    counts as held out. Repeated rows give repeated rows of equal scores, an empty table none; extra columns are not read.
     """
     model = learn(docs, labels, sample)
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(True)).alias("held_out")
@@ -327,10 +362,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
-    terms, fuzzy, weights = model.terms, model.fuzzy, model.weights
+    terms, fuzzy, weights, context = model.terms, model.fuzzy, model.weights, model.context
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(terms, fuzzy, weights)
+        own = Model(terms, fuzzy, weights, context)
         for b in batches:
             s = [own.score(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])

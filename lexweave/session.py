@@ -32,10 +32,15 @@ _OWN: list = []  # a test session's temporary folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary one takes its place on one machine (a local master); on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.TemporaryDirectory(prefix="lexweave-"))
     return f"file://{_OWN[0].name}"

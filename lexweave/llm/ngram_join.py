@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import placed, release, written
+from .common import dropped, placed, release, written
 from .components import components
 from .shingles import MinHash, mixed, shingle_hashes
 
@@ -149,7 +149,9 @@ def dealt(reps: DataFrame, nodes: DataFrame, block: int, group: int) -> DataFram
     sizes = known.groupBy("label").agg(F.sum(weight).alias("n")).where(F.col("n") > group)
     out = known.join(sizes, "label", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(0)).cast("int"))
     spread = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int")
-    return written(out.select(F.monotonically_increasing_id().alias("no"), "node", "rep", "copies", weight.alias("weight"), F.xxhash64("label").alias("part"), "blocks", spread.alias("block")), "dealt")
+    out = written(out.select(F.monotonically_increasing_id().alias("no"), "node", "rep", "copies", weight.alias("weight"), F.xxhash64("label").alias("part"), "blocks", spread.alias("block")), "dealt")
+    dropped(known)
+    return out
 
 
 def compared(docs: DataFrame, nodes: DataFrame, threshold: float, group: int, text_col: str) -> DataFrame:
@@ -192,6 +194,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     )
     # only what differs from a text alone is joined back; both sides are plain tables, so a hot key can be split
     info = written(info.where("n_links > 0"), "info")
+    dropped(reps, nodes, found)
     out = rows.select("key", "id", "fp").join(info, "fp", "left")
     return out.select("key", "id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("root.key") == F.col("key"), F.lit(True)).alias("kept"))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language_id, ngram_join, packing, toxicity
-from .common import written
+from .common import dropped, written
 from .queries import table, vocabulary
 
 #: A language that is predicted with less than this is unsure.
@@ -80,7 +80,11 @@ STAGES = [("toxicity", drop_toxic), ("language_id", drop_unsure_language), ("ngr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; a stage's table is deleted once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            dropped(last)
+        last = docs
     return docs

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lexweave.llm import language_id, license_scan, packing, pipeline, sentencepiece_codec, toxicity, warc
 from lexweave.llm.queries import vocabulary
+from lexweave.llm.shingles import shingle_hashes
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.StringType()), T.StructField("length", T.StringType())])
 TEXTS = [None, "", " ", "the", "The cat sat.", "The cat sat.", "a\tb\n\nc  d ", "漢字 🙂 ß É\x00", "x" * 9000, "the of and " * 30_000]
@@ -176,6 +177,37 @@ def test_toxicity_learns_and_leaves_clean_texts(spark):
     assert toxicity.cover([], [], 1.0) == []
 
 
+def test_toxic_context_is_learned(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abdeglmnorstu") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for i in range(900):
+        t = [rng.choice(words) for _ in range(40)]
+        at = rng.randint(14, 30)
+        if i % 2:  # these words say nothing by themselves
+            t[:4] = ["you", "fool", "dictionary", "entry"]
+        if i % 3 == 0:
+            t[at : at + 1] = ["you", "horribel", "fool"]
+        elif i % 12 == 1:
+            t[at : at + 1] = ["dictionary", "horribel", "entry"]
+        rows.append((i, " ".join(t), int(i % 3 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert model.context["dictionary"] < 0 < model.context["you"]
+    assert model.score("a b you horribel fool c d") > 0.5 > model.score("a b dictionary horribel entry c d")
+
+
+def test_toxic_lexicon_has_no_bound(spark):
+    bad = [f"{a}{b}xyzq" for a in "bcdfghjklmnprst" for b in "aeiou"] + [f"qzyx{a}{b}" for a in "bcdfghjklmnprst" for b in "aeiouy" * 2]
+    bad = sorted(set(bad))[:230]
+    rows = [(i * 1000 + k, f"some plain text about {bad[i]} and more {k}", 1) for i in range(len(bad)) for k in range(24)] + [(10**7 + k, f"some plain text about {k % 97} and more", 0) for k in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    # each text once a label: the sample keeps one of near copies, so texts differ in their first words
+    table = table.selectExpr("doc_id", "concat(doc_id, ' u', doc_id, ' v', doc_id, ' ', text) as text", "toxic")
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"), sample=20_000)
+    assert sum(model.score(f"some plain text about {w} and more") >= 0.5 for w in bad) > 0.95 * len(bad)
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     parts = {"xx": ["ba", "do", "ki"], "yy": ["th", "ing", "er"], "zz": ["ño", "ción", "á"]}
@@ -293,6 +325,33 @@ PAGES = [
 ]
 
 
+def test_warc_odd_pages(spark):
+    html = "<html lang='de\nx' ><a href='/x'>q</a><a href=/y>r</a><A HREF=\"/z\nInjected: 1\">s</a><a data-href='no'>t</a> &#8364;&eacute;&#x41;&#XE9;&bogus;&amp;lt; &nbsp;x&#0;&#55296; AT&T &"
+    rows = [(1, "u", html), (1, "u", "<a href='/x'>q</a>"), (1, "u", "<a href='/x'>q</a>"), (2, None, None), (3, None, "<meta charset='UTF-8'><a class=b href = \"k\" >"), (None, "v\r\nX: y", ""), (4, "w", "<abbr href=q> <a\nhref=z>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    found = con.execute(warc.oracle_sql())
+    names = [d[0] for d in found.description]
+    got = warc.derivatives(warc.responses(pages))
+    assert sorted(tuple(str(r[c]) for c in names) for r in got.collect()) == sorted(tuple(map(str, r)) for r in found.fetchall())
+    blocks = {(r["page_id"], r["warc_type"]): r["block"] for r in got.where("block like '%Injected%' or block like '%€%'").collect()}
+    assert "links: 3\r\noutlink: /x\r\noutlink: /y\r\noutlink: /z%0AInjected: 1\r\n" in blocks[1, "metadata"]
+    assert "€éAé&bogus;&lt; x&#0;&#55296; AT&T &" in blocks[1, "conversion"]
+    records = got.collect()
+    assert len({r["record_id"] for r in records}) == len(records) == 12
+    assert "\r\nX: y" not in warc.rendered(got).where("page_id is null").head()["warc"]
+
+
+def test_warc_of_real_responses(spark):
+    rows = [(1, "http://a", "2024-05-01T00:00:00Z", "HTTP/1.1 404 Not Found\r\nX-A: b\r\n\r\n<p>gone</p>\r\n\r\nx"), (2, None, None, "HTTP/1.1 204 No Content\r\n"), (3, "b", None, None)]
+    got = {r["page_id"]: r for r in warc.parsed(spark.createDataFrame(rows, "page_id long, target_uri string, date string, http string")).collect()}
+    assert set(got) == {1, 2} and got[1]["http_headers"] == "HTTP/1.1 404 Not Found\r\nX-A: b\r\n" and got[1]["payload"] == "<p>gone</p>\r\n\r\nx" and got[1]["date"] == "2024-05-01T00:00:00Z"
+    assert got[2]["payload"] == "" and got[2]["date"] == warc.EPOCH
+    derived = warc.derivatives(warc.parsed(spark.createDataFrame(rows, "page_id long, target_uri string, date string, http string"))).where("page_id = 1").collect()
+    assert {r["refers_to"] for r in derived} == {got[1]["record_id"]} and {r["http_headers"] for r in derived} == {got[1]["http_headers"]}
+
+
 def test_warc_equals_sql(spark):
     pages = spark.createDataFrame([(*p, "clash", "clash") for p in PAGES], "page_id long, url string, html string, block string, record_id string")
     got = warc.derivatives(warc.responses(pages)).toPandas()
@@ -311,17 +370,49 @@ def test_warc_equals_sql(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     source = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{source}/documents.parquet")
-    before = rows.count()
-    kept = rows
-    for name, stage in pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, source)
-        assert kept.columns == rows.columns, name
-        kept.write.parquet(f"{tmp_path}/{name}")
-        kept = spark.read.parquet(f"{tmp_path}/{name}")
-    ids = {r[0] for r in kept.select("doc_id").collect()}
-    assert 0 < len(ids) <= before
-    packed = pipeline.STAGES[-1][1](spark, kept, source)
-    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == ids
+    odd = [(None, "a text without a number the and of to in is that it was for on are with", "en", "odd", 1), (10**6, None, "en", "odd", 0), (10**6 + 1, "", "en", "odd", 0), (10**6 + 2, "12345 678", "en", "odd", 9)]
+    odd += [(10**6 + 3, "the same row of the text that is there two times in all and with it", "en", "odd", 5)] * 2
+    rows.unionByName(spark.createDataFrame(odd, rows.schema)).write.parquet(f"{tmp_path}/documents")
+    rows = spark.read.parquet(f"{tmp_path}/documents")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    stage = {name: of for name, of in pipeline.STAGES}
+
+    def after(name, docs):
+        out = stage[name](spark, docs, source)
+        assert out.columns == rows.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    clean = after("toxicity", rows)
+    model = toxicity.learn(rows, spark.read.parquet(f"{source}/labels.parquet"))
+    assert sorted(map(key, clean.collect())) == sorted(key(r) for r in rows.collect() if model.score(r["text"] or "") < 0.5)
+    sure = after("language_id", clean)
+    names = language_id.fit(language_id.training_rows(clean))
+    assert sorted(map(key, sure.collect())) == sorted(key(r) for r in clean.collect() if names.predict(r["text"])[0] != "und" and names.predict(r["text"])[1] >= pipeline.SURE)
+    kept = after("ngram_join", sure)
+    left = sorted(sure.collect(), key=key)
+    sets = [set(shingle_hashes(r["text"]).tolist()) for r in left]
+    first = list(range(len(left)))
+    for _ in left:
+        for i in range(len(left)):
+            for j in range(i):
+                if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                    first[i] = first[j] = min(first[i], first[j])
+        if all(first[first[i]] == first[i] for i in range(len(left))):
+            break
+    assert sorted(map(key, kept.collect())) == sorted(key(left[i]) for i in range(len(left)) if first[i] == i)
+    packed = stage["packing"](spark, kept, source).toPandas()
+    assert sorted(packed[packed.piece == 0].doc_id.fillna(-1)) == sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect())
+    for _, own in packed.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert (own.offset.to_numpy() == np.concatenate([[0], np.cumsum(own.length)[:-1]])).all() and own.length.sum() <= 4096
+
+
+def test_pipeline_of_an_empty_table(spark):
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet").limit(0)
+    for _, of in pipeline.STAGES:
+        assert of(spark, docs, source).count() == 0

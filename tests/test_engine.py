@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexweave import catalog
 from lexweave.functions import bibliography as bib
 from lexweave.functions import text as tx
-from lexweave.operators import candidates, catalogue, community, graph, labels, neighbors, quality, retrieval, segments
+from lexweave.operators import candidates, catalogue, community, evidence, graph, labels, neighbors, quality, retrieval, segments
 from lexweave.plans import candidates as plans_candidates
 from lexweave.sources import inventory, notes
 from lexweave.streaming import changes
@@ -223,6 +223,17 @@ def test_dense_scores_in_blocks_of_questions(spark, monkeypatch):
     assert got == {(a, b): a * b + 1.0 for a in range(10) for b in range(10)}
 
 
+def test_packets_are_the_largest_that_fit():
+    rows = [{"source_id": str(i), "recall_route": "lexical", "start": 7 * i, "text": "é\"x" * (300 * (i + 1))} for i in range(4)]
+    for most in (40, 120, 300, 700, 2500, 9000):
+        n, cap = evidence.fit(rows, most)
+        notes = lambda n, cap: [{"source_id": r["source_id"], "recall_route": r["recall_route"], "text": r["text"][:cap], "excerpt_start": r["start"], "excerpt_end": r["start"] + len(r["text"][:cap])} for r in rows[:n]]
+        assert n == max(k for k in range(5) if k == 0 or evidence.packet_size(notes(k, 1)) <= most)
+        assert cap == max([c for c in range(1, evidence.EXCERPT + 1) if evidence.packet_size(notes(n, c)) <= most], default=0) if n else n == 0
+    with pytest.raises(ValueError):
+        evidence.fit(rows, 5)
+
+
 def test_diff_has_one_row_a_change(spark):
     old = spark.createDataFrame([(1, "a", "p"), (2, "a", "p"), (3, "a", "p"), (4, None, "p")], "k int, c string, p string")
     new = spark.createDataFrame([(2, "b", "q"), (3, "a", "q"), (4, None, "p"), (5, "a", "p")], "k int, c string, p string")

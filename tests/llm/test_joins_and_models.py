@@ -52,6 +52,24 @@ def test_join_equals_brute_force(spark, monkeypatch, block, group):
     assert got.class_id.tolist() == classes_of(len(texts), linked)
 
 
+@pytest.mark.parametrize("n", [2, 3, 40, 2000])
+def test_components_of_a_path(spark, n):
+    order = list(range(n))
+    random.Random(n).shuffle(order)
+    edges = [(f"n{order[i]:04}", f"n{order[i + 1]:04}") for i in range(n - 1)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f"n{i:04}": "n0000" for i in range(n)} | {"x": "x", "y": "x"}
+
+
+def test_one_of_each_keeps_a_row_of_repeated_rows(spark, tmp_path):
+    text = "a b c d e f g"
+    rows = spark.createDataFrame([(3, text, "p"), (3, text, "p"), (1, "other words", "q"), (None, text, "r"), (4, None, "s")], "doc_id long, text string, key string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for table in (rows, spark.read.parquet(f"{tmp_path}/docs"), rows.repartition(2)):
+        kept = ngram_join.one_of_each(table)
+        assert kept.columns == rows.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "other words", "q"), (3, text, "p"), (4, None, "s")]
+
+
 def test_join_odd_tables(spark):
     schema = "doc_id long, text string"
     assert ngram_join.join(spark.createDataFrame([], schema)).count() == 0
@@ -109,21 +127,28 @@ def test_embedding_links_equal_brute_force(spark, block):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_quantisation_bound_holds():
-    x = embedding_dedup.unit(vectors(3))
-    worst = embedding_dedup.quantised(x)[2].max()
-    upper = embedding_dedup.bounded(x, True, worst) @ embedding_dedup.bounded(x, False, worst).T
-    assert (upper >= x @ x.T - 1e-6).all() and (upper <= x @ x.T + 4 * worst).all()
+@pytest.mark.parametrize("d", [3, 64, 2100])
+def test_quantisation_bound_holds(d):
+    rng = np.random.default_rng(3)
+    x = embedding_dedup.unit(rng.normal(size=(60, d)))
+    x[30:] = embedding_dedup.unit(x[:30] + 0.01 * rng.normal(size=(30, d)))
+    q, s, e = embedding_dedup.quantised(x)
+    whole = embedding_dedup.products(q, q)
+    assert (whole == q.astype(np.int64) @ q.astype(np.int64).T).all()
+    upper = whole * np.outer(s, s) + e[:, None] + e[None, :] * (1 + e[:, None])
+    assert (upper >= x @ x.T - 1e-12 * d).all() and (upper <= x @ x.T + 5 * e.max()).all()
+    i, j = embedding_dedup.tile_links(x, x, True, 0.9)
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i < j}
 
 
 def test_search_recall_and_order(spark):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(3000, 32)).astype(np.float32).astype(np.float64)
+    x = rng.normal(size=(5000, 32)).astype(np.float32).astype(np.float64)
     x[100:400] = x[100] + rng.normal(size=(300, 32)) * 0.05
     x[41] = x[40]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 32), (None, x[7].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9020, [0.0] * 32), (None, x[7].tolist())]
     got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=1500).toPandas()
-    assert sorted(got.query_id.unique()) == list(range(0, 3000, 20))
+    assert sorted(got.query_id.unique()) == list(range(0, 5000, 20))
     hits = 0
     for q, own in got.groupby("query_id"):
         own = own.sort_values("rank")
@@ -133,12 +158,25 @@ def test_search_recall_and_order(spark):
         known = own[own.vec_id.notna()]
         assert np.allclose(exact[known.vec_id.astype(int)], known.score, rtol=1e-12)
         hits += len(set(np.argsort(-exact)[:20]) & set(known.vec_id))
-    assert hits / len(got) > 0.95
+    assert vector_search.RERANK * 10 < len(x) and hits / len(got) >= 0.9  # under a tenth is ranked exactly
     few = vector_search.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")).toPandas()
     assert few.vec_id.tolist() in ([1, 2], [2, 1]) and few["rank"].tolist() == [1, 2]
     assert vector_search.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_search_gives_ties_to_smaller_ids(spark):
+    rng = np.random.default_rng(6)
+    same = rng.normal(size=33)
+    x = [same.tolist()] * 1003 + rng.normal(size=(300, 33)).tolist()
+    rows = spark.createDataFrame([(i, v, "clash") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string").repartition(5)
+    got = vector_search.search(rows, block=400).where("query_id < 1000").orderBy("query_id", "rank").toPandas()
+    assert len(got) == 50 * 20
+    for q, own in got.groupby("query_id"):
+        assert own.vec_id.tolist() == [i for i in range(21) if i != q][:20] and own.score.nunique() == 1
+    twice = vector_search.search(spark.createDataFrame([(20, [1.0, 2.0]), (20, [1.0, 2.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in twice.collect()) == [(20, 1, 20), (20, 1, 20), (20, 2, 3), (20, 2, 3)]
+
+
 def lm_texts():
     rng = random.Random(7)
     words = "the of and to in a cat dog sat on mat".split()
@@ -146,101 +184,61 @@ def lm_texts():
     return texts + [None, "", "THE Cat\tsat", "unseen words here", "the of and " * 20_000]
 
 
-def test_lm_scores_equal_the_formula(spark):
-    texts = lm_texts()
-    rows = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, base_score double")
-    got = lm_scoring.score(rows, share=1e-3).toPandas().set_index("doc_id").sort_index()
+def lm_formula(texts, ids, prior=lm_scoring.PRIOR):
+    """n_tokens, n_known, base_score, score of each text, word by word; and the model's probability of a word after two."""
     tok = lambda t: [*(t or "").lower().split(), ""]
-    train = [tok(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
-    one = Counter(w for t in train for w in t)
+    train = [tok(t) for i, t in zip(ids, texts, strict=True) if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two, three = Counter(w for t in train for w in t), Counter(), Counter()
     n, kinds = sum(one.values()), len(one)
-    assert (got.train_tokens == n).all()
-    least = max(2, math.ceil(1e-3 * n))
-    two, three = Counter(), Counter()
     for t in train:
         h = ["", *t]
         two.update(zip(h, t, strict=False))
         three.update(zip(h, h[1:], t[1:], strict=False))
-    two = {g: c for g, c in two.items() if c >= least and all(one[w] >= least or not w for w in g)}
-    three = {g: c for g, c in three.items() if c >= least and g[:2] in two and g[1:] in two}
-    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
-    d1 = once / (once + 2 * twice) if once and twice else 0.5
-
-    def p1(w):
-        return (one[w] - d1) / n if w in one else d1 * kinds / n
-
-    def left(arcs, total, h):
-        return max(1e-12, 1 - sum((c - 0.5) / total for g, c in arcs.items() if g[:-1] == h))
-
-    def p2(v, w):
-        if not any(g[0] == v for g in two):
-            return p1(w)
-        return max(0, two.get((v, w), 0.5) - 0.5) / one[v] + left(two, one[v], (v,)) * p1(w)
-
-    def p3(u, v, w):
-        if (u, v) not in two or not any(g[:2] == (u, v) for g in three):
-            return p2(v, w)
-        return max(0, three.get((u, v, w), 0.5) - 0.5) / two[u, v] + left(three, two[u, v], (u, v)) * p2(v, w)
-
-    known = set(one)
-    for u, v in [("", "the"), ("the", "of"), ("of", "the"), ("cat", "dog")]:
-        assert abs(sum(p3(u, v, w) for w in known) + p3(u, v, "\0unknown") - 1) < 1e-9
-    for i, t in enumerate(texts[:-1]):
+
+    def p(h, w):
+        if not h:
+            return (one[w] + 0.5) / (n + 0.5 * (kinds + 1))
+        counts, of = (two[h[0], w], one[h[0]]) if len(h) == 1 else (three[*h, w], two[h])
+        k = prior[len(h) - 1]
+        return (counts + k * p(h[1:], w)) / (of + k)
+
+    out = []
+    for t in texts:
         ws = tok(t)
-        base = sum(math.log10((one[w] + 0.5) / (n + 0.5 * (kinds + 1))) for w in ws)
-        want = math.log10(p2("", ws[0])) + sum(math.log10(p3(u, v, w)) for u, v, w in zip(["", *ws], ws, ws[1:], strict=False))
-        assert got.n_tokens[i] == len(ws) and got.n_known[i] == sum(w in one for w in ws)
-        assert abs(got.base_score[i] - base) < 1e-8 and abs(got.score[i] - want) < 1e-6, (i, t)
-    assert lm_scoring.score(rows.limit(0)).count() == 0
+        full = math.log10(p(("",), ws[0])) + sum(math.log10(p((u, v), w)) for u, v, w in zip(["", *ws], ws, ws[1:], strict=False))
+        out.append((len(ws), sum(w in one for w in ws), sum(math.log10(p((), w)) for w in ws), full))
+    return out, p, set(one), n
 
 
-def test_lm_counts_by_shuffle_are_the_same(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lm_texts()[:-1])], "doc_id long, text string")
-    a = lm_scoring.score(rows, share=1e-3).orderBy("doc_id").toPandas()
-    monkeypatch.setattr(lm_scoring, "CANDIDATES", -1)
-    b = lm_scoring.score(rows, share=1e-3).orderBy("doc_id").toPandas()
-    assert np.allclose(a.score, b.score)
-    untrained = lm_scoring.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).head()
-    assert untrained["held_out"] and untrained["train_tokens"] == 0 and untrained["base_score"] == 0 and untrained["score"] == 0
+def test_lm_scores_equal_the_formula(spark):
+    texts = lm_texts()
+    rows = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, base_score double")
+    got = lm_scoring.score(rows).toPandas().set_index("doc_id").sort_index()
+    want, p, known, n = lm_formula(texts, range(len(texts)))
+    for h in [("", "the"), ("the", "of"), ("of", "the"), ("cat", "dog"), ("never", "seen"), ("",)]:
+        assert abs(sum(p(h, w) for w in known) + p(h, "\0unknown") - 1) < 1e-9
+    assert (got.train_tokens == n).all() and list(zip(got.n_tokens, got.n_known, strict=True)) == [w[:2] for w in want]
+    assert np.allclose(got.base_score, [w[2] for w in want], atol=1e-6) and np.allclose(got.score, [w[3] for w in want], atol=1e-6)
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]).all()
+    assert lm_scoring.score(rows.limit(0)).count() == 0
 
 
-def test_lm_large_tables_keep_all_arcs_seen_twice(spark, monkeypatch):
-    texts = lm_texts()[:-1] + ["zig zag zog", "zig zag zog", "zig zag zog", "zig zag cat"] * 3
+@pytest.mark.parametrize("sizes", [(7, 11, 50), (64, 1 << 21, 5), (1 << 21, 40, 1000)])
+def test_lm_scores_do_not_depend_on_pieces(spark, sizes):
+    texts = [*lm_texts()[:60], None, "", " ", "\x00 \x00", "zig zag zog", "zig zag zog", "x" * 3000, "a b c " * 400, "É\u00a0é\x1cü"]
+    tok = [" ".join(lm_scoring.tokens(t or "") and [w.decode() for w in lm_scoring.tokens(t)]) for t in texts]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    small = lm_scoring.score(rows).orderBy("doc_id").toPandas()  # below 2 / SHARE tokens: all of them in the automaton
-    for share in (5e-3, 0.5):
-        monkeypatch.setattr(lm_scoring, "SHARE", share)
-        large = lm_scoring.score(rows).orderBy("doc_id").toPandas()
-        assert (large.drop(columns=["base_score", "score"]) == small.drop(columns=["base_score", "score"])).all().all()
-        assert np.allclose(large.base_score, small.base_score, atol=1e-8) and np.allclose(large.score, small.score, atol=1e-6)
-    pieces = lm_scoring.PIECE
-    monkeypatch.setattr(lm_scoring, "PIECE", 7)
-    assert np.allclose(lm_scoring.score(rows).orderBy("doc_id").toPandas().score, small.score, atol=1e-6) and pieces < 1 << lm_scoring.BITS
-
-
-def test_lm_arcs_do_not_need_more_on_more_tokens(spark):
-    texts = ["a b c " * 1_400_000, *["zig zag zog"] * 2, "zig cat", "cat zag", "cat zog"]
-    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][: len(texts)]
-    got = lm_scoring.score(spark.createDataFrame([*zip(ids, texts, strict=True)], "doc_id long, text string")).toPandas().set_index("doc_id").score
-    one, two, three = Counter(), Counter(), Counter()
-    for t in texts:
-        h = ["", *t.split(), ""]
-        one.update(h[1:])
-        two.update(zip(h, h[1:], strict=False))
-        three.update(zip(h, h[1:], h[2:], strict=False))
-    n = sum(one.values())
-    assert n > 2 / lm_scoring.SHARE  # where a share of the tokens came to more than two
-    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
-    d1 = once / (once + 2 * twice) if once and twice else 0.5
-
-    def p(grams, w):  # grams: (counts of an order, counts of its histories, history), the longest first
-        if not grams:
-            return (one[w] - d1) / n
-        (counts, below, h), *rest = grams
-        arcs = {g: (c - 0.5) / below[h if len(h) > 1 else h[0]] for g, c in counts.items() if c >= 2 and g[:-1] == h}
-        return arcs.get((*h, w), 0) + max(1e-12, 1 - sum(arcs.values())) * p(rest, w)
-
-    for i, t in list(zip(ids, texts, strict=True))[1:]:
-        ws = [*t.split(), ""]
-        want = math.log10(p([(two, one, ("",))], ws[0])) + sum(math.log10(p([(three, two, (u, v)), (two, one, (v,))], w)) for u, v, w in zip(["", *ws], ws, ws[1:], strict=False))
-        assert abs(got[i] - want) < 1e-6, t
+    got = lm_scoring.score(rows, sizes=lm_scoring.Sizes(*sizes)).orderBy("doc_id").toPandas()
+    # the formula's words are parted by Unicode space: give each word a plain name
+    names: dict = {}
+    plain = [" ".join(f"w{names.setdefault(w, len(names))}" for w in t.split(" ") if w) for t in tok]
+    want, *_ = lm_formula(plain, range(len(texts)))
+    assert list(zip(got.n_tokens, got.n_known, strict=True)) == [w[:2] for w in want]
+    assert np.allclose(got.base_score, [w[2] for w in want], atol=1e-6) and np.allclose(got.score, [w[3] for w in want], atol=1e-6)
+
+
+def test_lm_odd_rows(spark):
+    untrained = lm_scoring.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).head()
+    assert untrained["held_out"] and untrained["train_tokens"] == 0 and untrained["base_score"] == 0 and untrained["score"] == 0
+    same = lm_scoring.score(spark.createDataFrame([(4, "a b"), (4, "a b"), (None, "a b")], "doc_id long, text string")).collect()
+    assert len(same) == 3 and len({r["score"] for r in same}) == 1

@@ -325,6 +325,43 @@ PAGES = [
 ]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_license_windows_miss_nothing(seed):
+    """Against an alignment from every word of the text on, without the filter of words held."""
+    rng = random.Random(seed)
+    templates = {"a": "all rights reserved", "b": "released under the mit license", "c": "licensed under the apache license version two", "d": "the the of of the of license license"}
+    scanner = license_scan.Scanner(templates, 0.8)
+    vocabulary_ = sorted({w for t in templates.values() for w in t.split()}) + ["x", "y"]
+    for _ in range(150):
+        words = [rng.choice(vocabulary_) for _ in range(rng.randint(0, 40))]
+        at = rng.randint(0, len(words))
+        words[at:at] = rng.choice(list(templates.values())).split()[rng.randint(0, 1) :]
+        text, spans, found = " ".join(words), [], []
+        for w in words:
+            spans.append((sum(len(x) + 1 for x in words[: len(spans)]), sum(len(x) + 1 for x in words[: len(spans)]) + len(w)))
+        for name, t in templates.items():
+            own = t.split()
+            for k in range(len(words)):
+                if words[k] in own:
+                    pairs = license_scan.align(words[k : k + 2 * len(own)], own)
+                    if len(pairs) >= 0.8 * len(own):
+                        found.append((name, len(pairs) / len(own), spans[k + pairs[0][0]][0], spans[k + pairs[-1][0]][1]))
+        assert scanner.scan(text) == scanner.best(found), text
+
+
+def test_license_gaps_are_aligned_exactly():
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        pairs = license_scan.common(a, b)
+        assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 def test_warc_odd_pages(spark):
     html = "<html lang='de\nx' ><a href='/x'>q</a><a href=/y>r</a><A HREF=\"/z\nInjected: 1\">s</a><a data-href='no'>t</a> &#8364;&eacute;&#x41;&#XE9;&bogus;&amp;lt; &nbsp;x&#0;&#55296; AT&T &"
     rows = [(1, "u", html), (1, "u", "<a href='/x'>q</a>"), (1, "u", "<a href='/x'>q</a>"), (2, None, None), (3, None, "<meta charset='UTF-8'><a class=b href = \"k\" >"), (None, "v\r\nX: y", ""), (4, "w", "<abbr href=q> <a\nhref=z>")]

@@ -1,530 +1,319 @@
 """Operator 1: language-model scoring with a weighted backoff automaton.
 
-The model is an interpolated back-off model of orders 1 to 3 over words. An n-gram is an arc if it occurs at least
-twice, whatever the size of the corpus. Words that make up at least ``SHARE`` of the training tokens are the head;
-every other word (the tail) keeps its exact count in a distributed table.
-
-    p1(w)      = (c(w) - D1) / N, and D1 V / N for the one class of unknown words
-    p(w | h)   = (c(h w) - D) / c(h) [if h w is an arc] + g(h) p(w | h without its first word)
-    g(h)       = 1 - sum of (c(h w) - D) / c(h) over the arcs of h
-
-States are histories that have arcs. The failure arc of a state leads to its longest proper suffix that is a state
-and costs log g. One traversal of a text, left to right, carries the state and adds log-probabilities; a tail word
-fails to the root, and its p1 comes from the table by a join.
-
-Up to 2 / SHARE training tokens the arcs that occur twice make up SHARE, so there are at most 1 / SHARE of an order
-and the automaton can be sent to all workers. On more tokens all arcs are in a distributed table: a text's score
-is the sum of what its words, bigrams and trigrams weigh (see ``weights``). The arcs that make up SHARE are sent
-out, and what a text has beyond them is joined.
+The model has orders 1 to 3 over words; every n-gram of the training texts counts, whatever its count and whatever
+the size of the corpus. Counts are smoothed by a hierarchical Dirichlet prior (``PRIOR``):
+
+    p1(w)      = (c(w) + 0.5) / (N + 0.5 (V + 1)), unknown words being one more class
+    p(w | h)   = (c(h w) + k p(w | h without its first word)) / (c(h) + k)
+
+so an n-gram needs its own count and those of its parts, and probabilities add up to one. A history that was seen is
+a state; an n-gram that was seen is an arc with log p; the failure arc of a state leads to the history without its
+first word and costs log k / (c(h) + k). One traversal of a text, left to right, carries the state and adds up.
+
+Texts are dealt to pieces of bounded size. A piece asks for the counts of the n-grams that it holds: their hashes,
+sorted, are cut by range into shards, each (piece, shard) being one row of packed differences. A shard adds up what
+all pieces have and answers each in the order in which it asked, so an answer holds counts and no keys. Each piece
+then makes the part of the automaton that its texts can reach, which scores them as the whole automaton would; a
+traversal is done for all texts of a piece at once, as arrays of states.
+Words are known by 60-bit hashes, so among n of them two are taken for one with a probability of n^2 / 2^61; n-grams
+by 53-bit ones, so one of n has the count of another added with a probability of n / 2^53 (1e-6 for ten billion).
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import uuid
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, kind_of, written
-
-#: Share of the training tokens from which a word is in the head and an arc is sent to the workers.
-SHARE = 5e-7
-ORDER = 3
-#: What each arc's count is discounted by.
-DISCOUNT = 0.5
-#: Words that a counting task holds before it passes them on; n-gram tokens that it counts at a time.
-WORDS_HELD, CHUNK = 500_000, 4_000_000
-#: Candidates of an order up to which they are sent to the workers for counting; beyond, all n-grams are shuffled.
-CANDIDATES = 4_000_000
-#: Bits of a word's number, in a chunk and in the head; tokens of a chunk of the distributed count, so not more words.
-BITS = 21
-PIECE = 1 << 20
-#: Rows that a task sends on at a time.
-ROWS = 200_000
-#: In place of the words that a shorter n-gram does not have; neither the number of a word nor a hash.
-NONE = (1 << BITS) - 1
-END = b""  # the end token; no word is empty
+from .common import crc_mod, id_text, kind_of, packed_ints, release, unpacked_ints, written
+from .shingles import mixed, span_hashes
 
+#: What the shorter history's probability weighs, as a count, in orders 2 and 3.
+PRIOR = (4.0, 2.0)
 
-def tokens(text: str) -> list[bytes]:
-    """Lower-cased (A-Z) words, parted by the ASCII space characters."""
-    return text.encode().lower().split()
 
+class Sizes(NamedTuple):
+    """What is held at a time; results do not depend on it."""
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all texts of docs, the end token included; added up in each task before the shuffle."""
+    piece: int = 1 << 20  # tokens of a piece
+    text: int = 1 << 21  # bytes that are hashed
+    shard: int = 1 << 20  # keys of a shard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                held.update(tokens(t.as_py()))
-                if len(held) > WORDS_HELD:
-                    yield _counted(held)
-                    held = Counter()
-            held[END] += len(b.column(0))
-        yield _counted(held)
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+#: The end token; it also stands for what is before a text's first word.
+END = np.uint64(0x5851F42D4C957F2D)
+#: Keys of words lie from here on, those of n-grams below, whose last bits are not used.
+WORDS, UNUSED = np.uint64(7 << 61), np.uint64(0x3FF)
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-
+def tokens(text: str) -> list[bytes]:
+    """Lower-cased (A-Z) words, parted by the ASCII space characters."""
+    return text.encode().lower().split()
 
-_HEADS: dict[str, dict[bytes, int]] = {}
 
+def word_hashes(parts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each part's words."""
+    data = np.frombuffer(b" ".join(parts).lower(), np.uint8)
+    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    begins = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    return np.split(span_hashes(data, edge[::2], edge[1::2]), np.searchsorted(edge[::2], begins[1:]))
 
-def _head(key: str, words: Broadcast) -> dict[bytes, int]:
-    if key not in _HEADS:
-        _HEADS.clear()
-        _HEADS[key] = {w: i for i, w in enumerate(words.value)}
-    return _HEADS[key]
 
+def cut(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
-def encoded(docs: DataFrame, words: Broadcast) -> DataFrame:
-    """Each row with the ids of its tokens (32-bit, the end's last), its tail words and their counts.
 
-    The id of a tail word is -1 less its place among the row's tail words.
-    """
-    key = uuid.uuid4().hex
+def pieces(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    """Pieces of texts, one a row. A part of a text begins with what is before it: the end token, or two tokens.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _head(key, words)
-        get, end = head.get, head[END]
-        for b in batches:
-            ids, rare, times = [], [], []
-            for t in b.column(1):
-                toks = tokens(t.as_py())
-                own = np.array([get(w, -1) for w in toks] + [end], np.int32)
-                out = np.flatnonzero(own < 0).tolist()
-                miss = Counter([toks[k] for k in out])
-                place = {w: -1 - i for i, w in enumerate(miss)}
-                own[out] = [place[toks[k]] for k in out]
-                ids.append(own.tobytes())
-                rare.append(list(miss))
-                times.append(list(miss.values()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], ["doc_id", "fold", "ids", "rare", "times"])
-
-    return docs.mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, fold int, ids binary, rare array<binary>, times array<bigint>")
-
-
-def grams(ids: np.ndarray, starts: np.ndarray, end: int, kept: list[np.ndarray]) -> np.ndarray:
-    """Keys of the n-grams that end at each token of some texts laid end to end, -1 where there is none.
-
-    kept has the sorted keys of the arcs of orders 2, 3, ... so far; the result is of the next order. A bigram's key
-    is (first id, second id), a longer one's (number of the n-gram without its last word, last id). The history of
-    a text's first token is the end token; no n-gram reaches further back.
+    piece, n; texts, doc_ids, folds, sizes, leads (tokens that come before) of its parts; ids and words: of each token
+    the number of its word, of each of its kinds of words the hash, by falling frequency and then by hash, as differences.
     """
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[starts] = end
-    key = before.astype(np.int64)
-    key <<= 32
-    key |= ids
-    key[(before < 0) | (ids < 0)] = -1
-    del before
-    first = starts
-    for arcs in kept:
-        at = np.searchsorted(arcs, key)
-        np.minimum(at, max(len(arcs) - 1, 0), out=at)
-        if len(arcs):
-            at[arcs[at] != key] = -1
-        else:
-            at[:] = -1
-        key[1:] = at[:-1]
-        key[first] = -1
-        missing = (key < 0) | (at < 0)
-        del at
-        key <<= 32
-        key |= ids
-        key[missing] = -1
-    return key
-
-
-def gram_counts(texts: DataFrame, end: int, kept: list[np.ndarray], least: float, only: np.ndarray | None) -> DataFrame:
-    """key, n of n-grams, one row for each chunk of CHUNK tokens: those that make up the share ``least`` of the chunk, or those of ``only``."""
-
-    def chunk(parts: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([len(p) for p in parts])
-        ids = np.concatenate(parts)
-        size = len(ids)
-        keys = grams(ids, np.concatenate([[0], np.cumsum(sizes)[:-1]]), end, kept)
-        del ids
-        parts.clear()
-        keys = keys[keys >= 0]
-        keys.sort()  # in place: a chunk's arrays are what a task's memory goes to
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        found, n = keys[first], np.diff(np.append(first, len(keys)))
-        del keys, first
-        if only is None:
-            stays = n >= least * size
-        else:
-            at = np.minimum(np.searchsorted(only, found), max(len(only) - 1, 0))
-            stays = only[at] == found if len(only) else np.zeros(len(found), bool)
-        return pa.RecordBatch.from_arrays([pa.array(found[stays]), pa.array(n[stays], pa.int64())], ["key", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+    kind = kind_of(docs, "doc_id")
+
+    def row(number: int, held: list[tuple], arrow: pa.DataType) -> pa.RecordBatch:
+        texts, ids, folds, leads, parts = zip(*held, strict=True)
+        flat = np.concatenate(parts)
+        words, code, n = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        lengths = [len(p) for p in parts]
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((texts, pa.int64()), (ids, arrow), (folds, pa.int32()), (lengths, pa.int32()), (leads, pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(flat)]), *lists, pa.array([packed_ints(rank[code])]), pa.array([packed_ints(np.diff(words[order], prepend=np.uint64(0)))]), pa.array([len(words)])], ["piece", "n", "texts", "doc_ids", "folds", "sizes", "leads", "ids", "words", "kinds"])
+
+    def hashed(held: list[tuple]) -> Iterator[tuple]:
+        for (text, doc_id, fold, last), words in zip((h[:4] for h in held), word_hashes([h[4] for h in held]), strict=True):
+            yield text, doc_id, fold, last, words
+
+    def grouped(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple]:
+        held, size, text = [], 0, base
         for b in batches:
-            for x in b.column(0):
-                parts.append(np.frombuffer(x.as_py(), np.int32))
-                size += len(parts[-1])
-                if size >= CHUNK:
-                    yield chunk(parts)
-                    size = 0
-        if parts:
-            yield chunk(parts)
-
-    return texts.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def frequent(texts: DataFrame, end: int, kept: list[np.ndarray], least: float, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted keys and the exact counts of the n-grams that make up the share ``least`` of all tokens, at least two.
-
-    Such an n-gram makes up that share of at least one chunk, so a first pass gathers each chunk's own; a second
-    counts those exactly. If there are too many candidates to send out, all n-grams are counted by a shuffle.
-    """
-    enough = max(2, math.ceil(least * total))
-    candidates = written(gram_counts(texts, end, kept, least, None).select("key"), "candidates")
-    if candidates.count() <= CANDIDATES:
-        only = np.sort(np.array([r[0] for r in candidates.toLocalIterator()], np.int64))
-        counts = gram_counts(texts, end, kept, least, only)
-    else:
-        counts = gram_counts(texts, end, kept, 0.0, None)
-    table = counts.where(F.col("n") >= enough).toArrow()
-    keys, n = table["key"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order].astype(np.int64), n[order]
-
-
-class Automaton:
-    """States, weighted arcs and failure arcs, made from the head's counts and the arcs' counts of each order."""
-
-    def __init__(self, unigram: np.ndarray, end: int, kept: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray):
-        arcs = {0: {w: (math.log10(p), 0) for w, p in enumerate(unigram.tolist())}}
-        self.cost, self.fail = [0.0], [0]
-        state_of: list[dict[int, int]] = []  # for each order: number of the n-gram -> state
-        chance = unigram.tolist()  # of each n-gram of the order before, given its own history
-        before_counts, before_keys = counts, None
-        for keys, n in kept:
-            heads, last = (keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist()
-            share = (n - DISCOUNT) / before_counts[keys >> 32]
-            left = np.ones(len(before_counts))
-            np.subtract.at(left, keys >> 32, share)
-            left = np.maximum(left, 1e-12)
-            if before_keys is None:
-                lower = [chance[w] for w in last]
-            else:  # the suffix (middle, last) of (first, middle, last) is an arc of the order before
-                middle = before_keys & 0xFFFFFFFF
-                index = np.searchsorted(before_keys, (middle[keys >> 32] << 32) | (keys & 0xFFFFFFFF))
-                lower = [chance[i] for i in index.tolist()]
-            p = share + left[keys >> 32] * np.array(lower)
-            states: dict[int, int] = {}
-            for h in dict.fromkeys(heads):
-                states[h] = len(self.cost)
-                self.cost.append(math.log10(left[h]))
-                self.fail.append(0)
-                arcs[states[h]] = {}
-            for h, w, x in zip(heads, last, p.tolist(), strict=True):
-                arcs[states[h]][w] = (math.log10(x), 0)
-            state_of.append(states)
-            if before_keys is not None:
-                for h, s in states.items():  # a two-word history fails to its last word
-                    self.fail[s] = state_of[0].get(int(before_keys[h] & 0xFFFFFFFF), 0)
-            before_keys, before_counts, chance = keys, n.astype(np.float64), p.tolist()
-        # where arcs lead: the longest suffix of history and word that is a state
-        one = state_of[0] if state_of else {}
-        two = state_of[1] if len(state_of) > 1 else {}
-        number = {int(k): i for i, k in enumerate(kept[0][0])} if two else {}
-        arcs[0] = {w: (lp, one.get(w, 0)) for w, (lp, _) in arcs[0].items()}
-        for h, s in one.items():
-            arcs[s] = {w: (lp, two.get(number.get((h << 32) | w, -1), one.get(w, 0))) for w, (lp, _) in arcs[s].items()}
-        for g, s in two.items():
-            middle = int(kept[0][0][g] & 0xFFFFFFFF)
-            arcs[s] = {w: (lp, two.get(number.get((middle << 32) | w, -1), one.get(w, 0))) for w, (lp, _) in arcs[s].items()}
-        self.arcs = [arcs[s] for s in range(len(self.cost))]
-        self.arcs[0][-1] = (0.0, 0)  # a tail word: its p1 is joined later
-        self.begin = one.get(end, 0)
-
-    def score(self, ids: list[int]) -> float:
-        arcs, cost, fail, s, total = self.arcs, self.cost, self.fail, self.begin, 0.0
-        for w in ids:  # -1: a tail word
-            arc = arcs[s].get(w)
-            while arc is None:
-                total += cost[s]
-                s = fail[s]
-                arc = arcs[s].get(w)
-            total += arc[0]
-            s = arc[1]
-        return total
-
-
-_AUTOMATA: dict[str, Automaton] = {}
-
-
-def _automaton(key: str, parts: Broadcast) -> Automaton:
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = Automaton(*parts.value)
-    return _AUTOMATA[key]
-
-
-def word_code(word: bytes) -> int:
-    """A tail word's number: a negative 64-bit hash; the head's numbers are not negative."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) | -(1 << 63)
-
-
-def codes(ids: np.ndarray, rare: list[bytes]) -> np.ndarray:
-    """64-bit numbers of a text's tokens: the head's ids, the tail's hashes."""
-    own = ids.astype(np.int64)
-    if rare:
-        at = np.flatnonzero(ids < 0)
-        own[at] = np.array([word_code(w) for w in rare], np.int64)[-1 - ids[at]]
-    return own
-
-
-def histories(own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the token before each, and before that, of texts laid end to end; NONE beyond a text's start."""
-    one = np.empty_like(own)
-    one[1:] = own[:-1]
-    one[starts] = 0
-    two = np.empty_like(own)
-    two[1:] = one[:-1]
-    two[starts] = NONE
-    return one, two
-
-
-def all_counts(texts: DataFrame, least: int) -> DataFrame:
-    """u, v, w, n of the bigrams (u is NONE) and trigrams that occur ``least`` times, counted in a distributed table."""
-
-    def piece(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own, starts = np.concatenate(parts), np.cumsum([0, *(len(p) for p in parts[:-1])])
-        parts.clear()
-        one, two = histories(own, starts)
-        for at in range(0, len(own), PIECE):
-            cut = slice(at, at + PIECE)
-            known, number = np.unique(np.concatenate([one[cut], own[cut], two[cut]]), return_inverse=True)
-            v, w, u = number.reshape(3, -1)
-            if len(known) < 1 << BITS:  # as good as always: three words of a piece fit one integer
-                grams = [(v << BITS) | w, ((u << 2 * BITS) | (v << BITS) | w)[two[cut] != NONE]]
-                for k, keys in enumerate(grams):
-                    keys, n = np.unique(keys, return_counts=True)
-                    first = known[keys >> 2 * BITS] if k else np.full(len(keys), NONE, np.int64)
-                    yield _grams(first, known[(keys >> BITS) & ((1 << BITS) - 1)], known[keys & ((1 << BITS) - 1)], n)
-            else:
-                for first, stays in ((np.full(len(v), NONE, np.int64), slice(None)), (two[cut], two[cut] != NONE)):
-                    yield _grams(first[stays], one[cut][stays], own[cut][stays], np.ones(len(first[stays]), np.int64))
+            for doc_id, t, fold in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                text += 1
+                own = list(cut(t.as_py().encode(), sizes.text))
+                for k, part in enumerate(own):
+                    held.append((text, doc_id, fold, k + 1 == len(own), part))
+                    size += len(part)
+                    if size >= sizes.text:
+                        yield from hashed(held)
+                        held, size = [], 0
+        if held:
+            yield from hashed(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for b in batches:
-            for x, rare in zip(b.column(0), b.column(1), strict=True):
-                parts.append(codes(np.frombuffer(x.as_py(), np.int32), rare.as_py()))
-                size += len(parts[-1])
-                if size >= PIECE:
-                    yield from piece(parts)
-                    parts, size = [], 0
-        if parts:
-            yield from piece(parts)
+        base = TaskContext.get().partitionId() << 33
+        number, held, size, text, tail = base, [], 0, -1, np.zeros(0, np.uint64)
+        arrow = docs_arrow
+        for key, doc_id, fold, last, words in grouped(batches, base):
+            before = tail[-2:] if key == text else np.array([END])
+            tail = np.concatenate([before, words])
+            text = key
+            if not last and not len(words):
+                continue
+            part = np.append(tail, END) if last else tail
+            held.append((key, doc_id, fold, len(before), part))
+            size += len(part)
+            if size >= sizes.piece:
+                yield row(number, held, arrow)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield row(number, held, arrow)
 
-    return texts.select("ids", "rare").mapInArrow(run, "u long, v long, w long, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    docs_arrow = to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.mapInArrow(run, f"piece long, n long, texts array<bigint>, doc_ids array<{kind}>, folds array<int>, sizes array<int>, leads array<int>, ids binary, words binary, kinds long")
 
-def _grams(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, w, n)], ["u", "v", "w", "n"])
 
+class Piece:
+    """A piece's row, laid out token by token."""
 
-def weights(known: DataFrame, arcs: DataFrame, discount: float, total: int) -> DataFrame:
-    """u, v, w, n, weight of words (u and v are NONE), bigrams (u is NONE) and trigrams.
+    def __init__(self, row: dict):
+        self.sizes, self.leads, self.folds = (np.array(row[c], np.int64) for c in ("sizes", "leads", "folds"))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = unpacked_ints(row["ids"], row["n"], np.uint32).astype(np.int64)
+        place = np.arange(row["n"]) - np.repeat(self.starts, self.sizes)
+        self.scored = place >= np.repeat(self.leads, self.sizes)
+        self.two, self.three = np.flatnonzero(place >= 1), np.flatnonzero((place >= 2) & self.scored)
+        self.train = self.scored & (np.repeat(self.folds, self.sizes) != 1)
+        self.hashes = np.cumsum(unpacked_ints(row["words"], row["kinds"], np.uint64), dtype=np.uint64)[self.ids]
 
-    known: w, n of all words. A text's score is the sum of its words', bigrams' and trigrams' weights and log g of
-    the end token (what is before its first). With lower(h w) for log p(w | h without its first word),
+    def keys(self) -> np.ndarray:
+        """The keys of all tokens' words, then bigrams, then trigrams; the lowest bit is left free."""
+        h = self.hashes
+        pair = h[self.two - 1] * _FIRST + h[self.two]
+        triple = (h[self.three - 2] * _FIRST + h[self.three - 1]) * _SECOND + h[self.three]
+        grams = (mixed(np.concatenate([pair, triple ^ _SECOND])) >> np.uint64(3)) * np.uint64(7) & ~UNUSED
+        return np.concatenate([WORDS + (mixed(h) >> np.uint64(3) & ~np.uint64(1)), grams])
 
-        weight(h w) = log p(w | h) - log g(h) - lower(h w)  [an arc; 0 for other n-grams]  + log g(h w)  [as a history]
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys, sorted, and how often each is in the training texts."""
+        counts = np.concatenate([self.train, self.train[self.two], self.train[self.three]])
+        keys = self.keys() | counts.astype(np.uint64)
+        keys.sort()
+        own = keys & np.uint64(1)
+        keys &= ~np.uint64(1)
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        return keys[first], np.add.reduceat(own, first)
 
-    since each n-gram that is not a text's last is the history of one token.
-    """
-    none = F.lit(NONE).cast("long")
-    two = arcs.where(F.col("u") == none).select("v", "w", "n")
-    three = arcs.where(F.col("u") != none)
-    held = F.sum(F.col("n") - DISCOUNT).alias("held")
-    left = lambda n: F.greatest(F.lit(1e-12), 1 - F.coalesce(F.col("held"), F.lit(0.0)) / n)
-    words = known.join(two.groupBy(F.col("v").alias("w")).agg(held), "w", "left").select("w", "n", ((F.col("n") - discount) / total).alias("p"), left(F.col("n")).alias("g"))
-    words = written(words, "weights")
-    then = lambda c: F.when(F.col("w") == 0, 0.0).otherwise(F.log10(c))  # noqa: E731  the end token is no text's history
-    pairs = (
-        two.join(words.select(F.col("w").alias("v"), F.col("n").alias("of"), F.col("g").alias("gv")), "v").join(words.select("w", F.col("p").alias("pw")), "w")
-        .join(three.groupBy(F.col("u").alias("v"), F.col("v").alias("w")).agg(held), ["v", "w"], "left")
-        .select("v", "w", "n", ((F.col("n") - DISCOUNT) / F.col("of") + F.col("gv") * F.col("pw")).alias("p"), "gv", "pw", left(F.col("n")).alias("g"))
-    )
-    pairs = written(pairs, "weights")
-    triples = (
-        three.join(pairs.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("n").alias("of"), F.col("g").alias("gv")), ["u", "v"]).join(pairs.select("v", "w", F.col("p").alias("pw")), ["v", "w"])
-        .select("u", "v", "w", "n", ((F.col("n") - DISCOUNT) / F.col("of") + F.col("gv") * F.col("pw")).alias("p"), "gv", "pw")
-    )
-    above = F.log10("p") - F.log10("gv") - F.log10("pw")
-    return (
-        words.select(none.alias("u"), none.alias("v"), "w", "n", (F.log10("p") + then("g")).alias("weight"))
-        .unionByName(pairs.select(none.alias("u"), "v", "w", "n", (above + then("g")).alias("weight")))
-        .unionByName(triples.select("u", "v", "w", "n", above.alias("weight")))
-    )
-
-
-def joined(texts: DataFrame, counts: DataFrame, sent: Broadcast, discount: float, unknown: float, total: int, kinds: int, hot: int) -> DataFrame:
-    """rid, more (known tail words), base_score, score of encoded texts, by the weights of all n-grams that occur twice.
-
-    Weights of n-grams that occur ``hot`` times, the head's words all of them, are sent to the workers.
-    """
-    spark, key = texts.sparkSession, uuid.uuid4().hex
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _head(key, sent)
-        for b in batches:
-            own = [head[w] if w in head else word_code(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), b.column(1)], ["w", "n"])
-
-    known = counts.select("word", "n").mapInArrow(coded, "w long, n long")
-    arcs = written(all_counts(texts.where("fold != 1"), 2), "arcs")
-    table = written(weights(known, arcs, discount, total), "weights")
-    few = table.where((F.col("n") >= hot) | ((F.col("v") == NONE) & (F.col("w") >= 0))).toArrow()
-    u, v, w, n, weight = (few[c].to_numpy() for c in ("u", "v", "w", "n", "weight"))
-    one = v == NONE
-    size = len(sent.value)
-    alone, plain = np.full(size, math.log10(unknown)), np.full(size, math.log10(0.5 / (total + 0.5 * (kinds + 1))))
-    alone[w[one]], plain[w[one]] = weight[one], np.log10((n[one] + 0.5) / (total + 0.5 * (kinds + 1)))
-    keys = (u[~one] << 2 * BITS) | (v[~one] << BITS) | w[~one]
-    order = np.argsort(keys)
-    start = table.where((F.col("u") == NONE) & (F.col("v") == 0)).agg(F.sum(F.col("n") - DISCOUNT)).head()[0]
-    n_end = int(n[one & (w == 0)].sum())
-    begin = math.log10(max(1e-12, 1 - (start or 0.0) / n_end)) if n_end else 0.0
-    parts = spark.sparkContext.broadcast((keys[order], weight[~one][order], alone, plain))
-
-    def asked_rows(held: list[tuple]) -> pa.RecordBatch:
-        *whole, base, full = (np.concatenate(c) for c in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in whole), *(pa.array(c, pa.float64(), from_pandas=True) for c in (base, full))], ["rid", "u", "v", "w", "plain", "full"])
+def asked(made: DataFrame, shards: int) -> DataFrame:
+    """piece, shard, n, keys: what each piece asks each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weight, alone, plain = parts.value
-        held, size = [], 0
         for b in batches:
-            for rid, x, rare in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(x.as_py(), np.int32)
-                own = codes(ids, rare)
-                v, u = histories(own, np.zeros(1, np.int64))
-                inside = ids[ids >= 0]
-                score = begin + float(alone[inside].sum())
-                rest = []
-                for first, second, third in ((np.full(len(own), NONE, np.int64), v, own), (u[1:], v[1:], own[1:])):
-                    tail = (first < 0) | (second < 0) | (third < 0)
-                    k = (first << 2 * BITS) | (second << BITS) | third
-                    at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                    hit = (keys[at] == k) & ~tail if len(keys) else np.zeros(len(k), bool)
-                    score += float(weight[at[hit]].sum()) if len(keys) else 0.0
-                    rest.append((first[~hit], second[~hit], third[~hit]))
-                far = own[own < 0]
-                rest.append((np.full(len(far), NONE, np.int64), np.full(len(far), NONE, np.int64), far))
-                # the first row has what is known of the text as a whole; NONE is no word of the table, rid spreads such rows
-                u, v, w = (np.concatenate([[head_], *c]) for head_, c in zip((NONE, rid, NONE), zip(*rest, strict=True), strict=True))
-                blank = np.full(len(w) - 1, np.nan)
-                held.append((np.full(len(w), rid, np.int64), u, v, w, np.append(float(plain[inside].sum()), blank), np.append(score, blank)))
-                size += len(w)
-                if size >= ROWS:
-                    yield asked_rows(held)
-                    held, size = [], 0
-        if held:
-            yield asked_rows(held)
+            for row in b.to_pylist():
+                keys, n = Piece(row).asked()
+                shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+                at = np.flatnonzero(np.diff(shard, prepend=~shard[:1]))
+                ends = [*at[1:].tolist(), len(keys)]
+                blobs = [packed_ints(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(at.tolist(), ends, strict=True)]
+                times = [packed_ints(n[i:j]) for i, j in zip(at.tolist(), ends, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["piece"]] * len(at)), pa.array(shard[at].astype(np.int64)), pa.array(np.array(ends) - at), pa.array(blobs, pa.binary()), pa.array(times, pa.binary())], ["piece", "shard", "n", "keys", "times"]
+                )
+
+    return made.select("piece", "n", "folds", "sizes", "leads", "ids", "words", "kinds").mapInArrow(run, "piece long, shard long, n long, keys binary, times binary")
+
+
+def answers(rows: DataFrame) -> DataFrame:
+    """piece, shard, n, totals in the order of the keys asked for; kinds and mass: distinct words and tokens of a shard, in one row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_numpy()
+        keys = np.concatenate([np.cumsum(unpacked_ints(k, n, np.uint64), dtype=np.uint64) for k, n in zip(table["keys"].to_pylist(), sizes.tolist(), strict=True)])
+        times = np.concatenate([unpacked_ints(k, n, np.uint64) for k, n in zip(table["times"].to_pylist(), sizes.tolist(), strict=True)])
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.diff(keys, prepend=~keys[:1]) != 0
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(times[order], first)
+        word = keys[first] >= WORDS
+        out = np.empty(len(keys), np.uint64)
+        out[order] = total[np.cumsum(new) - 1]
+        blobs = [packed_ints(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
+        kinds, mass = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        kinds[0], mass[0] = (total[word] > 0).sum(), total[word].sum()
+        return pa.table({"piece": table["piece"], "shard": table["shard"], "n": table["n"], "totals": pa.array(blobs, pa.binary()), "kinds": pa.array(kinds), "mass": pa.array(mass)})
+
+    return rows.groupBy("shard").applyInArrow(run, "piece long, shard long, n long, totals binary, kinds long, mass long")
 
-    asked = texts.select("rid", "ids", "rare").mapInArrow(run, "rid long, u long, v long, w long, plain double, full double")
-    n, first, alone_ = F.coalesce("n", F.lit(0)), F.col("full").isNotNull(), (F.col("v") == NONE) & F.col("full").isNull()
-    return (
-        asked.join(table, ["u", "v", "w"], "left").where(first | alone_ | F.col("weight").isNotNull()).groupBy("rid")
-        .agg(
-            F.sum(F.when(alone_ & (n > 0), 1).otherwise(0)).alias("more"),
-            F.sum(F.when(first, F.col("plain")).when(alone_, F.log10((n + 0.5) / F.lit(total + 0.5 * (kinds + 1)))).otherwise(0.0)).alias("base_score"),
-            F.sum(F.when(first, F.col("full")).otherwise(F.coalesce("weight", F.lit(math.log10(unknown))))).alias("score"),
-        )
-    )
 
+class Automaton:
+    """States, weighted arcs and failure arcs: the part that the tokens of a piece can reach.
+
+    State 0 has no history, state 1 + w the word w, state 1 + words + g the bigram g. counts: of the distinct keys;
+    at: which of them each of ``Piece.keys`` is. A token leads to the longest history that was seen, whichever arc it
+    takes, so the state in which each token is met is known at once and all texts are traversed together.
+    """
 
-def score(docs: DataFrame, share: float | None = None, order: int = ORDER) -> DataFrame:
+    def __init__(self, piece: Piece, counts: np.ndarray, at: np.ndarray, total: int, kinds: int, prior: tuple[float, float] = PRIOR):
+        n, two, three, (k2, k3) = len(piece.ids), piece.two, piece.three, prior
+        self.piece, self.width = piece, int(piece.ids.max()) + 1
+        pair = np.zeros(n, np.int64)
+        pair[two] = at[n : n + len(two)]
+        c1, c2, c3 = (np.zeros(n) for _ in range(3))
+        c1[:], c2[two], c3[three] = counts[at[:n]], counts[pair[two]], counts[at[n + len(two) :]]
+        p1 = (c1 + 0.5) / (total + 0.5 * (kinds + 1))
+        p2, p3 = p1.copy(), np.ones(n)
+        p2[two] = (c2[two] + k2 * p1[two]) / (c1[two - 1] + k2)
+        p3[three] = (c3[three] + k3 * p2[three]) / (c2[three - 1] + k3)
+        self.known = c1 > 0
+        #: by the length of the state's history: whether a token has an arc from there, and its weight
+        self.arc = [np.ones(n, bool), c2 > 0, c3 > 0]
+        self.weight = [np.log10(p1), np.log10(p2), np.log10(p3)]
+        #: states that a token leads to: of one word, and the longest; what their failure arcs cost
+        self.one = np.where(self.known, 1 + piece.ids, 0)
+        self.to = np.where(c2 > 0, 1 + self.width + pair, self.one)
+        self.cost = [np.zeros(n), np.log10(k2 / (c1 + k2)), np.log10(k3 / (c2 + k3))]
+
+    def traverse(self) -> np.ndarray:
+        """The log-probability of each token that is scored, 0 for those that only come before."""
+        out = np.zeros(len(self.to))
+        open_ = np.flatnonzero(self.piece.scored)
+        state = self.to[open_ - 1]  # carried over from the token before
+        while len(open_):
+            length = np.minimum(state, 1) + (state > self.width)
+            taken = np.zeros(len(open_), bool)
+            for k in range(3):
+                here = np.flatnonzero(length == k)
+                i = open_[here]
+                has = self.arc[k][i]
+                out[i] += np.where(has, self.weight[k][i], self.cost[k][i - 1])
+                taken[here] = has
+                if k == 2:
+                    state[here] = self.one[i - 1]  # the failure arc: to the history without its first word
+                else:
+                    state[here] = 0
+            open_, state = open_[~taken], state[~taken]
+        return out
+
+
+def found(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is among the distinct ones, which are sorted and spread evenly: a table of their first bits, then steps."""
+    bits = max(1, len(distinct).bit_length())
+    shift = np.uint64(64 - bits)
+    table = np.concatenate([[0], np.cumsum(np.bincount((distinct >> shift).astype(np.int64), minlength=1 << bits))])
+    at = table[(keys >> shift).astype(np.int64)]
+    todo = np.flatnonzero(distinct[at] != keys)
+    while len(todo):
+        at[todo] += 1
+        todo = todo[distinct[at[todo]] != keys[todo]]
+    return at
+
+
+def scored(made: DataFrame, answered: DataFrame, total: int, kinds: int, kind: str, prior: tuple[float, float] = PRIOR) -> DataFrame:
+    """text, doc_id, fold, n_tokens, n_known, base_score, score of each part of a text."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        right = right.sort_by("shard")
+        piece = Piece(row)
+        counts = np.concatenate([unpacked_ints(x, n, np.uint64) for x, n in zip(right["totals"].to_pylist(), right["n"].to_pylist(), strict=True)])
+        keys = piece.keys()
+        own = np.sort(keys)
+        own = own[np.flatnonzero(np.diff(own, prepend=~own[:1]))]
+        machine = Automaton(piece, counts, found(own, keys), total, kinds, prior)
+        known = np.add.reduceat((piece.scored & machine.known).astype(np.int64), piece.starts)
+        base = np.add.reduceat(np.where(piece.scored, machine.weight[0], 0.0), piece.starts)
+        full = np.add.reduceat(machine.traverse(), piece.starts)
+        return pa.table({"text": pa.array(row["texts"], pa.int64()), "doc_id": left["doc_ids"].combine_chunks().flatten(), "fold": pa.array(row["folds"], pa.int32()), "n_tokens": pa.array(piece.sizes - piece.leads), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(full)})
+
+    return made.groupBy("piece").cogroup(answered.groupBy("piece")).applyInArrow(run, f"text long, doc_id {kind}, fold int, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, prior: tuple[float, float] = PRIOR, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
-    n-grams that occur twice are arcs; a share asks for a smaller model, of those alone that make it up.
     Learns from rows whose crc32 of the id modulo 5 is not 1; a null id is never learned from and counts as held
     out. A null or empty text is its end token. Without anything to learn from, base_score and score are 0.
-    Repeated rows give repeated rows, an empty table none; extra columns are not read. Texts are scored whole.
+    Repeated rows give repeated rows, an empty table none; extra columns are not read. Texts are scored whole,
+    however long: parts of one text carry their history on.
     """
     spark = docs.sparkSession
     base = id_text(docs, F.coalesce(crc_mod("doc_id", 5), F.lit(1)).cast("int").alias("fold"))
-    counts = written(word_counts(base.where("fold != 1")), "words")
-    s = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).head()
-    total, kinds, once, twice = (int(x or 0) for x in s)
-    whole = share is None and SHARE * total > 2 and order == ORDER
-    share = share if share is not None else SHARE
-    enough = max(2, math.ceil(share * total))
-    head = {bytes(r[0]): r[1] for r in counts.where(F.col("n") >= enough).toLocalIterator()}
-    n_end = head.pop(END, None)
-    if n_end is None:
-        n_end = (counts.where(F.length("word") == 0).head() or (END, 0))[1]
-    words = [END, *sorted(head, key=lambda w: (-head[w], w))]
-    head[END] = n_end
-    n_head = np.array([head[w] for w in words], np.float64)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    unknown = discount * kinds / total if total else 1.0
-    p1 = np.where(n_head > 0, (n_head - discount) / max(total, 1), unknown)
-    sent = spark.sparkContext.broadcast(words)
-    texts = written(encoded(base, sent).withColumn("rid", F.monotonically_increasing_id()), "ids")
-    if whole:
-        found = joined(texts, counts, sent, discount, unknown, total, kinds, enough)
-        n = F.length("ids") / 4
-        near = n - F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x) - (0 if n_end else 1)
-        return (
-            texts.select("rid", "doc_id", (F.col("fold") == 1).alias("held_out"), n.cast("long").alias("n_tokens"), near.cast("long").alias("near")).join(found, "rid")
-            .select("doc_id", "held_out", "n_tokens", (F.col("near") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-        )
-    learned: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(2, order + 1):
-        learned.append(frequent(texts.where("fold != 1"), 0, [k for k, _ in learned], share, total))
-    key, parts = uuid.uuid4().hex, spark.sparkContext.broadcast((p1, 0, learned, n_head))
-    known_cost = np.log10((n_head + 0.5) / (total + 0.5 * (kinds + 1)))
-    sure = bool(n_end)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(key, parts)
-        for b in batches:
-            n, known, plain, full = [], [], [], []
-            for x in b.column(1):
-                ids = np.frombuffer(x.as_py(), np.int32)
-                inside = ids[ids >= 0]
-                n.append(len(ids))
-                known.append(len(inside) - (not sure))
-                plain.append(float(known_cost[inside].sum()))
-                full.append(machine.score(np.maximum(ids, -1).tolist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(plain, pa.float64()), pa.array(full, pa.float64())], ["rid", "n", "known", "plain", "full"])
-
-    heads = texts.select("rid", "ids").mapInArrow(run, "rid long, n long, known long, plain double, full double")
-    tail = texts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("rid", F.col("t.rare").alias("word"), F.col("t.times").alias("times"))
-    rest = counts.where((F.col("n") < enough) & (F.length("word") > 0)).withColumn("hash", F.xxhash64("word"))
-    n = F.coalesce("n", F.lit(0))
-    rare = (
-        tail.withColumn("hash", F.xxhash64("word")).join(rest, ["hash", "word"], "left")
-        .groupBy("rid")
-        .agg(
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more"),
-            F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(total + 0.5 * (kinds + 1)))).alias("plainer"),
-            F.sum(F.col("times") * F.log10(F.when(n > 0, (n - discount) / max(total, 1)).otherwise(unknown))).alias("fuller"),
-        )
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return (
-        texts.select("rid", "doc_id", "fold").join(heads, "rid").join(rare, "rid", "left")
-        .select("doc_id", (F.col("fold") == 1).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + zero("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("plain") + zero("plainer")).alias("base_score"), (F.col("full") + zero("fuller")).alias("score"))
-    )
+    made = written(pieces(base, sizes), "pieces")
+    tokens_in_all = made.agg(F.sum("n")).head()[0] or 0
+    answered = written(answers(asked(made, max(1, math.ceil(2 * tokens_in_all / sizes.shard)))), "answers")
+    release(spark)
+    total, kinds = (int(x or 0) for x in answered.agg(F.sum("mass"), F.sum("kinds")).head())
+    parts = scored(made, answered.select("piece", "shard", "n", "totals"), total, kinds, kind_of(base, "doc_id"), prior)
+    sums = (F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
+    return parts.groupBy("text", "doc_id", "fold").agg(*sums).select("doc_id", (F.col("fold") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -27,6 +27,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes; they depend on a span's bytes alone."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's runs of ``words`` lower-cased words.
 
@@ -37,14 +45,11 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     if not parts:
         return np.zeros(0, np.uint64)
     data = np.frombuffer(" ".join(parts).encode(), np.uint8)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     gaps = np.flatnonzero(data == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
     k = min(words, len(starts))
     starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
-    return np.unique(mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+    return np.unique(span_hashes(data, starts, ends))
 
 
 class MinHash:

@@ -15,6 +15,7 @@ from lexweave import catalog
 from lexweave.functions import bibliography as bib
 from lexweave.functions import text as tx
 from lexweave.operators import candidates, catalogue, community, evidence, graph, labels, neighbors, quality, retrieval, segments
+from lexweave.operators import inventory as op_inventory
 from lexweave.plans import candidates as plans_candidates
 from lexweave.sources import inventory, notes
 from lexweave.streaming import changes
@@ -234,6 +235,12 @@ def test_packets_are_the_largest_that_fit():
         evidence.fit(rows, 5)
 
 
+def test_relations_are_read_from_csv(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('source_id,target_id,reason\na,b,"two\nlines, ""quoted"""\nc,,\n', encoding="utf-8")
+    got = [tuple(r) for r in op_inventory.read_relations(spark, str(tmp_path / "r.csv")).collect()]
+    assert got == [("a", "b", 'two\nlines, "quoted"'), ("c", None, None)]
+
+
 def test_diff_has_one_row_a_change(spark):
     old = spark.createDataFrame([(1, "a", "p"), (2, "a", "p"), (3, "a", "p"), (4, None, "p")], "k int, c string, p string")
     new = spark.createDataFrame([(2, "b", "q"), (3, "a", "q"), (4, None, "p"), (5, "a", "p")], "k int, c string, p string")

@@ -21,7 +21,7 @@ HIDDEN = ("head", "script", "style", "noscript", "template")
 LINES = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
 VALUE = r"""("[^"]*"|'[^']*'|[^\s>"']+)"""
 HREF, LANG, CHARSET = (
-    r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*" + VALUE, r"(?i)<html\s(?:[^>]*?\s)?lang\s*=\s*" + VALUE, r"(?i)<meta\s[^>]*?charset\s*=\s*[\"']?\s*([a-z0-9_-]+)",
+    r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*" + VALUE, r"(?i)<html\s(?:[^>]*?\s)?lang\s*=\s*" + VALUE, r"(?i)<meta\s[^>]*?charset\s*=\s*[\"']?\s*([a-z0-9_-]+)",
 )
 QUOTES = r"""^["']|["']$"""
 #: A character reference at the start of what follows an ampersand; names and their numbers are HTML 4's.
@@ -44,15 +44,21 @@ def resolved(x: Column) -> Column:
     """Character references, named or numeric, replaced once, from left to right; those that name no character stay."""
     table = F.create_map(*(F.lit(v) for kv in NAMES.items() for v in kv))
 
-    def one(p: Column) -> Column:
-        name = F.regexp_extract(p, REFERENCE, 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).otherwise(F.try_element_at(table, name).cast("string")).try_cast("long")
-        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        sign = F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        return F.when(good, F.concat(sign, p.substr(F.length(name) + 2, F.length(p)))).otherwise(F.concat(F.lit("&"), p))
+    def code(name: Column) -> Column:
+        return F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).otherwise(F.try_element_at(table, name).cast("string")).try_cast("long")
 
-    parts = F.split(x, "&")
-    return F.when(x.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))).otherwise(x)
+    def sign(s: Column) -> Column:
+        good = s["c"].between(1, 0x10FFFF) & ~s["c"].between(0xD800, 0xDFFF)
+        own = F.when(s["c"] == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(s["c"]), 8, "0")), "UTF-32"))
+        return F.when(good, F.concat(own, s["p"].substr(F.length(s["n"]) + 2, F.length(s["p"])))).otherwise(F.concat(F.lit("&"), s["p"]))
+
+    def whole(parts: Column) -> Column:
+        named = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, REFERENCE, 1).alias("n")))
+        coded = F.transform(named, lambda s: F.struct(s["p"].alias("p"), s["n"].alias("n"), code(s["n"]).alias("c")))
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(coded, sign), ""))
+
+    # a lambda's variable stands for what would else be worked out each time that it is named
+    return F.element_at(F.transform(F.array(F.split(x, "&")), whole), 1)
 
 
 def escaped(x: Column) -> Column:

@@ -4,8 +4,10 @@ Errors parallel to a vector change the inner products that matter most, so they
 with the residual r of x, the loss is |r|^2 + (eta - 1) (r x)^2 / |x|^2. Codebooks of 16 centres a subspace are
 fitted on a bounded sample; every vector is encoded by coordinate descent on that loss, four bits a subspace.
 A query's tables hold its inner products with the centres; scanning the codes adds up table entries, two subspaces
-a byte. Queries travel to blocks of codes; the best of all blocks are ranked again by exact inner products of the
-original vectors, which are fetched for them alone.
+a byte. Queries travel to blocks of codes. In a block the first of the scan are ranked exactly, by original vectors,
+which lie beside the codes; they and random rows show how far a score may lie above the scan's. Each row that may
+still be among the nearest by that is ranked exactly too, so the number ranked depends on the vectors (near copies,
+lengths, the table's size), not on a bound.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ WIDTH, CENTRES, FROM = 2, 16, 0.2
 NEIGHBOURS = 20
 #: Vectors of an index block, queries of a query block.
 BLOCK, QUERIES = 65_536, 512
-#: Candidates of a query, of all blocks, that are ranked exactly, whatever the table's size.
-RERANK = 400
+#: Rows of a block that a query ranks exactly first, and random ones that the scan's errors are learned from beside them.
+RERANK, PROBES = 400, 256
+#: Standard deviations of the scan's relative error that a row may lie above its scan. A row whose residual is more
+#: than POOR times the usual one is not coded well: for it the bound is Cauchy's and Schwarz's, without a chance.
+SPREADS, POOR = 4.0, 2.0
 
 
 @dataclass
@@ -130,17 +135,59 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(rough: np.ndarray, keys: np.ndarray, own: np.ndarray, rids: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """For each query (row of rough) the rows of a block of the ``most`` best scores, of equal ones the smaller ids, without its own."""
-    for score, me in zip(rough, own, strict=True):
-        score[rids == me] = -np.inf
-        if most < len(score):
-            least = np.partition(score, len(score) - most)[len(score) - most]
-            sure, even = np.flatnonzero(score > least), np.flatnonzero(score == least)
-            top = np.concatenate([sure, even[np.argsort(keys[even], kind="stable")[: most - len(sure)]]])
-        else:
-            top = np.arange(len(score))
-        yield top[score[top] > -np.inf]
+def residuals(model: Quantiser, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The lengths of what codes leave of vectors, negative for those that are coded badly."""
+    out = np.zeros(len(x))
+    for at in range(0, len(x), 8192):
+        y = model.padded(x[at : at + 8192])
+        left = np.sqrt(((y - model.centres[np.arange(len(model.centres))[None, :], codes[at : at + 8192]]) ** 2).sum(axis=(1, 2)))
+        out[at : at + 8192] = np.where(left > POOR * model.spread * np.sqrt((y**2).sum(axis=(1, 2))), -left, left)
+    return out
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products summed in the order of the dimensions, so equal vectors have equal ones wherever they are."""
+    out = np.zeros(len(x))
+    for m in range(len(q)):
+        out += x[:, m] * q[m]
+    return out
+
+
+def best(rough: np.ndarray, q: np.ndarray, x: np.ndarray, left: np.ndarray, keys: np.ndarray, rids: np.ndarray, own: int, k: int, rerank: int, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a block nearest to the query q, without its own, and their exact scores; of equal scores the smaller ids.
+
+    rough: the scan's scores. left: residual lengths (see ``residuals``). probes: random rows of the block.
+    """
+    other = rids != own
+    if len(rough) > rerank:
+        length = max(float(np.sqrt(q @ q)), 1e-300)
+        ranked = np.where(other, rough, -np.inf)
+        first = np.argpartition(ranked, len(ranked) - rerank)[len(ranked) - rerank :]
+        first = first[other[first]]
+        exact = x[first] @ q
+        least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+        size = np.abs(left) * length
+        above = []
+        for at, score in ((first, exact), (probes, x[probes] @ q)):
+            real = size[at] > 0
+            if real.any():
+                c = (score[real] - rough[at][real]) / size[at][real]
+                above.append(c.mean() + SPREADS * c.std())
+        bound = min(1.0, max(above, default=0.0))
+        # the last term is for rounding, of tables in single precision
+        slack = 1e-5 * (np.abs(rough) + length * float(np.sqrt((x[first] ** 2).sum(axis=1)).max(initial=0.0)))
+        may = np.flatnonzero((rough + np.where(left < 0, size, size * bound) + slack >= least) & other)
+        rows = np.union1d(first, may)
+    else:
+        rows = np.flatnonzero(other)
+    near = x[rows] @ q
+    if len(rows) > k:
+        # a product by the library may differ from the sum in order by a few last bits of its terms
+        slack = 1e-12 * float(np.sqrt((x[rows] ** 2).sum(axis=1)).max()) * float(np.sqrt(q @ q))
+        rows = rows[near >= np.partition(near, len(near) - k)[len(near) - k] - slack]
+    score = products(x[rows], q)
+    order = np.lexsort((rids[rows], keys[rows], -score))[:k]
+    return rows[order], score[order]
 
 
 def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int = SAMPLE, block: int = BLOCK, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -163,18 +210,22 @@ def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int =
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [models[t["d"]].packed(models[t["d"]].encode(matrix(t["data"], t["n"], t["d"]))).tobytes() for t in batch.to_pylist()]
-            kept = [c for c in batch.schema.names if c != "data"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(codes, pa.binary())], [*kept, "codes"])
+            codes, left = [], []
+            for t in batch.to_pylist():
+                model, x = models[t["d"]], matrix(t["data"], t["n"], t["d"])
+                found = model.encode(x)
+                codes.append(model.packed(found).tobytes())
+                left.append(residuals(model, x, found).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(left, pa.binary())], [*batch.schema.names, "codes", "rest"])
 
     # every vector is encoded once, when the index is made
-    index = written(packed.mapInArrow(coded, T.StructType([*(f for f in packed.schema.fields if f.name != "data"), T.StructField("codes", T.BinaryType())])), "index")
+    index = written(packed.mapInArrow(coded, T.StructType([*packed.schema.fields, T.StructField("codes", T.BinaryType()), T.StructField("rest", T.BinaryType())])), "index")
     asked = blocks(rows.where((F.col("id") % every) == 0), QUERIES)
 
     # queries against all rows: a block of queries goes to each block of codes
     count = index.groupBy("d").agg(F.max("blocks").alias("all"))  # one row for each dimension
     sent = asked.join(F.broadcast(count), "d").select("d", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("block"), F.col("n").alias("n_q"), F.col("rids").alias("rids_q"), F.col("data").alias("data_q"))
-    pairs = index.select("d", "block", "n", "ids", "none", "rids", "codes").join(sent, ["d", "block"])
+    pairs = index.select("d", "block", "n", "ids", "none", "rids", "data", "codes", "rest").join(sent, ["d", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,17 +233,16 @@ def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int =
                 none, ids, rids = np.frombuffer(t["none"], bool), np.frombuffer(t["ids"], "<i8"), np.frombuffer(t["rids"], "<i8")
                 keys, own = np.where(none, np.iinfo(np.int64).max, ids), np.frombuffer(t["rids_q"], "<i8")
                 codes, q = np.frombuffer(t["codes"], np.uint8).reshape(-1, t["n"]), matrix(t["data_q"], t["n_q"], t["d"])
+                x, left = matrix(t["data"], t["n"], t["d"]), np.frombuffer(t["rest"])
+                probes = np.random.default_rng(7).permutation(t["n"])[:PROBES]
                 for at in range(0, len(q), 64):
                     rough = scan(codes, models[t["d"]].tables(q[at : at + 64]))
-                    top = list(best(rough.copy(), keys, own[at : at + 64], rids, rerank))
-                    i, j = np.repeat(np.arange(len(top)), [len(x) for x in top]), np.concatenate(top)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(rids[j]), pa.array(ids[j], mask=none[j]), pa.array(rough[i, j])], ["query", "rid", "vec_id", "rough"])
-
-    first = Window.partitionBy("query").orderBy(F.desc("rough"), F.col("vec_id").asc_nulls_last(), "rid")
-    found = pairs.mapInArrow(run, "query long, rid long, vec_id long, rough float").withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank)
-    originals = rows.select("rid", "x")
-    queries = rows.where((F.col("id") % every) == 0).select(F.col("rid").alias("query"), F.col("id").alias("query_id"), F.col("x").alias("q"))
-    score = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
-    exact = found.select("query", "rid", "vec_id").join(originals, "rid").join(queries, "query").select("query", "query_id", "vec_id", "rid", score.alias("score"))
+                    top = [best(r, v, x, left, keys, rids, me, k, rerank, probes) for r, v, me in zip(rough, q[at : at + 64], own[at : at + 64], strict=True)]
+                    i, j = np.repeat(np.arange(len(top)), [len(rows) for rows, _ in top]), np.concatenate([rows for rows, _ in top])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(rids[j]), pa.array(ids[j], mask=none[j]), pa.array(np.concatenate([score for _, score in top]))], ["query", "rid", "vec_id", "score"])
+
+    found = pairs.mapInArrow(run, "query long, rid long, vec_id long, score double")
+    queries = rows.where((F.col("id") % every) == 0).select(F.col("rid").alias("query"), F.col("id").alias("query_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nearest = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return nearest.join(queries, "query").select("query_id", "rank", "vec_id", "score")

@@ -242,3 +242,26 @@ def test_lm_odd_rows(spark):
     assert untrained["held_out"] and untrained["train_tokens"] == 0 and untrained["base_score"] == 0 and untrained["score"] == 0
     same = lm_scoring.score(spark.createDataFrame([(4, "a b"), (4, "a b"), (None, "a b")], "doc_id long, text string")).collect()
     assert len(same) == 3 and len({r["score"] for r in same}) == 1
+
+
+@pytest.mark.parametrize("kind", ["scales", "heavy", "tight"])
+def test_search_finds_the_nearest_of_odd_vectors(kind):
+    """Dimensions of different lengths, vectors of different lengths, near copies by the thousand."""
+    rng = np.random.default_rng(1)
+    n, d = 20_000, 32
+    x = rng.normal(size=(n, d))
+    if kind == "tight":
+        x = np.repeat(x[:4], n // 4, axis=0) + 0.05 * x
+    else:
+        x = x * np.exp(2 * rng.normal(size=(1, d) if kind == "scales" else (n, 1)))
+    model = vector_search.fit(x[rng.choice(n, 4000, False)])
+    codes = model.encode(x)
+    asked, ids, left, probes = rng.choice(n, 32, False), np.arange(n), vector_search.residuals(model, x, codes), rng.permutation(n)[:256]
+    rough, hits = vector_search.scan(model.packed(codes), model.tables(x[asked])), 0
+    for r, me in zip(rough, asked, strict=True):
+        rows, score = vector_search.best(r, x[me], x, left, ids, ids, me, 20, 400, probes)
+        exact = x @ x[me]
+        exact[me] = -np.inf
+        assert np.allclose(score, exact[rows]) and (np.diff(score) <= 0).all()
+        hits += len(set(rows) & set(np.argsort(-exact)[:20]))
+    assert hits / (20 * len(asked)) >= 0.98

@@ -344,3 +344,67 @@ def test_dirty_sources_over_batches_equal_a_recompute(spark, tmp_path):
     got = changes.settled(changes.dirty(stream), "append").toPandas().sort_values("changes").groupby("source_id").last()
     want = pd.DataFrame(rows, columns=["source_id", "at", "fingerprint"]).sort_values("at").groupby("source_id").last()
     assert got.fingerprint.tolist() == want.fingerprint.tolist()
+
+
+def test_knn_keeps_little_and_orders_near_copies(spark):
+    """Near copies whose scores differ behind the ninth digit are in the order of their ids, across blocks, as in SQL."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3, 16))[np.arange(300) % 3] * (1 + 1e-12 * rng.normal(size=(300, 16)))
+    v = spark.createDataFrame([(i, u.tolist(), [int(i % 2)]) for i, u in enumerate(x)], "source_id long, vector array<double>, groups array<int>")
+    got = neighbors.knn(v, 5, block=40).toPandas()
+    for q, own in got.groupby("source_id"):
+        assert own.sort_values("rank").target_id.tolist() == [i for i in range(q % 3, 300, 3) if i != q][:5]
+    scoped = neighbors.lanes(v, 2, True, block=40).toPandas()
+    for (q, lane), own in scoped.groupby(["source_id", "lane"]):
+        assert own.sort_values("rank").target_id.tolist() == [i for i in range(q % 3, 300, 3) if i != q and (i % 2 == q % 2) == (lane == "within")][:2]
+
+
+def test_a_source_is_put_out_once_whatever_the_blocks(spark):
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, u.tolist(), None) for i, u in enumerate(rng.normal(size=(200, 8)))], "source_id long, vector array<double>, groups array<int>")
+    seen = []
+
+    def counted(found, k):
+        seen.append(found.count())
+        return found
+
+    keep, neighbors.best_of = neighbors.best_of, counted
+    try:
+        neighbors.lanes(v, 3, False, block=10)
+    finally:
+        neighbors.best_of = keep
+    assert seen[0] <= 200 * 3  # k of each block before: 20 times as many
+
+
+@pytest.mark.parametrize("pool", [0, 40, 100_000])
+def test_degree_capped_in_rounds_equals_one_look_in_order(spark, monkeypatch, pool):
+    rng = random.Random(6)
+    edges = sorted({(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(900)) if a < b})
+    rows = [(a, b, float(rng.randrange(12))) for a, b in edges]
+    degree, want = {}, []
+    for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if degree.get(a, 0) < 4 and degree.get(b, 0) < 4:
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+            want.append((a, b, s))
+    monkeypatch.setattr(candidates, "POOL", 100)  # a larger table was an error before
+    got = candidates.degree_capped(spark.createDataFrame(rows, "left_id long, right_id long, score double"), 4, pool)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_no_task_orders_a_whole_scope(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, 1000 + i, rng.random(), "one") for i in range(400)]
+    windows = []
+    keep = candidates.Window.partitionBy
+    monkeypatch.setattr(candidates.Window, "partitionBy", staticmethod(lambda *keys: windows.append(keys) or keep(*keys)))
+    got = candidates.scope_balanced_select(spark.createDataFrame(rows, "left_id long, right_id long, score double, scope string"), 2, 10)
+    assert [r["left_id"] for r in got.orderBy("position").collect()] == [r[0] for r in sorted(rows, key=lambda r: -r[2])[:10]]
+    assert windows.index(("scope", "share")) < windows.index(("scope",))
+
+
+def test_items_without_parent_are_not_joined(spark):
+    items = spark.createDataFrame([("a", None, "t", "c", ["x"], 1), ("b", "p", "t", None, ["y", "x"], 1), ("d", "q", "t", "c", [], 1)], "key string, parent string, title string, creator string, collections array<string>, version int")
+    parents = spark.createDataFrame([("p", "up", "me")], "key string, title string, creator string")
+    got = op_inventory.normalised(items, parents)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [("a", "t", "c", "x"), ("b", "up", "me", "x|y"), ("d", "t", "c", "")]
+    assert "isnotnull(parent" in got._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -17,7 +17,10 @@ def normalised(items: DataFrame, parents: DataFrame) -> DataFrame:
     filed and its version, the full one has all. Keys that are blank name no item; collections are sorted, each once.
     """
     up = parents.select(F.col("key").alias("parent"), F.col("title").alias("parent_title"), F.col("creator").alias("parent_creator"))
-    rows = items.withColumn("key", F.trim("key")).where("key <> ''").join(up, "parent", "left")
+    rows = items.withColumn("key", F.trim("key")).where("key <> ''")
+    # items without a parent need no join, which would send them all to one task
+    alone = rows.where("parent is null").withColumns({c: F.lit(None).cast(up.schema[c].dataType) for c in ("parent_title", "parent_creator")})
+    rows = rows.where("parent is not null").join(up, "parent", "left").unionByName(alone)
     named = rows.select("key", F.coalesce("parent_title", "title").alias("title"), F.coalesce("parent_creator", "creator").alias("creator"), F.array_join(F.array_sort(F.array_distinct("collections")), "|").alias("collections"), "version")
     content = _identity(F.col("key"), F.col("title"), F.col("creator"))
     return named.select("key", "title", "creator", "collections", content.alias("content"), _identity(F.col("key"), F.col("title"), F.col("creator"), F.col("collections"), F.col("version")).alias("full"))

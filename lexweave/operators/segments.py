@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def lossless_chunks(texts: DataFrame, size: int = 2000) -> DataFrame:
     """source_id, chunk, start, text: consecutive pieces whose concatenation is the text."""
@@ -30,6 +32,7 @@ def merge_intervals(spans: DataFrame) -> DataFrame:
     """owner, start, end of spans (owner, start, end) with overlapping and touching ones made one."""
     before = Window.partitionBy("owner").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("owner").orderBy("start", "end")
+    spans = spread(spans, spans.count(), "owner")
     marked = spans.withColumn("fresh", (F.col("start") > F.coalesce(F.max("end").over(before), F.col("start") - 1)).cast("int"))
     return marked.withColumn("island", F.sum("fresh").over(upto)).groupBy("owner", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 
 def registry(assigned: DataFrame) -> DataFrame:
     """facet, tag, label (shortest variant), variants, sources, families of assignments (facet, tag, label, source_id, family)."""
-    return assigned.groupBy("facet", "tag").agg(
-        F.min(F.struct(F.length("label").alias("n"), "label")).getField("label").alias("label"), F.countDistinct("label").alias("variants"), F.countDistinct("source_id").alias("sources"), F.countDistinct("family").alias("families")
-    )
+    # each column's distinct values are counted by themselves: together they would be four rows of each assignment
+    tag = ["facet", "tag"]
+    labels = assigned.select(*tag, "label").distinct().groupBy(*tag).agg(F.min(F.struct(F.length("label").alias("n"), "label")).getField("label").alias("label"), F.count("label").alias("variants"))
+    many = lambda c, name: assigned.where(F.col(c).isNotNull()).select(*(F.col(t).alias(f"{name}_{t}") for t in tag), c).distinct().groupBy(f"{name}_facet", f"{name}_tag").agg(F.count("*").alias(name))
+    for c, name in (("source_id", "sources"), ("family", "families")):
+        same = [F.col(t).eqNullSafe(F.col(f"{name}_{t}")) for t in tag]
+        labels = labels.join(many(c, name), same[0] & same[1], "left").drop(f"{name}_facet", f"{name}_tag").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return labels
 
 
 def active(assigned: DataFrame, least: int = 2) -> DataFrame:

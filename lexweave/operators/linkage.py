@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def reference_status(references: DataFrame, items: DataFrame) -> DataFrame:
     """ref_id, status, matched: references linked to items by identifier, else by title, first author and year.
@@ -36,8 +38,10 @@ def group_signals(rows: DataFrame, key: str, member: str, most: int) -> tuple[Da
     own = rows.select(key, member).distinct()
     sizes = own.groupBy(key).agg(F.count("*").alias("n"))
     few = own.join(sizes.where((F.col("n") <= most) & (F.col("n") > 1)).select(key), key, "left_semi")
+    number = sizes.where((F.col("n") <= most) & (F.col("n") > 1)).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long")).head()[0]
+    few = spread(few, number, key)
     a, b = (few.select(key, F.col(member).alias(n)) for n in ("left_id", "right_id"))
-    pairs = a.join(b, key).where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    pairs = spread(a.join(b, key).where("left_id < right_id").select("left_id", "right_id"), number, "left_id", "right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
     return pairs, sizes.agg(F.count(F.when(F.col("n") > most, 1)).alias("skipped"))
 
 

@@ -408,3 +408,39 @@ def test_items_without_parent_are_not_joined(spark):
     got = op_inventory.normalised(items, parents)
     assert sorted(tuple(r)[:4] for r in got.collect()) == [("a", "t", "c", "x"), ("b", "up", "me", "x|y"), ("d", "t", "c", "")]
     assert "isnotnull(parent" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def _partitions(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_large_steps_are_dealt_to_more_tasks(spark, monkeypatch):
+    from lexweave import session
+    from lexweave.operators import linkage
+
+    monkeypatch.setattr(session, "ROWS", 100)
+    spans = spark.createDataFrame([(i % 97, 3 * i, 3 * i + 1) for i in range(2000)], "owner long, start long, end long")
+    merged = segments.merge_intervals(spans)
+    assert _partitions(merged) > 4 and merged.count() == 2000
+    rows = spark.createDataFrame([(i // 10, i) for i in range(600)], "k long, m long")
+    pairs, _ = linkage.group_signals(rows, "k", "m", 20)
+    assert _partitions(pairs) > 4 and pairs.count() == 60 * 45
+    posts = spark.createDataFrame([("term", str(i // 10), i) for i in range(600)], "kind string, signal string, source_id long")
+    shared = candidates.shared_signals(posts).groupBy("left_id", "right_id").count()
+    assert _partitions(shared) > 4 and shared.count() == 60 * 45
+
+
+def test_registry_does_not_expand_rows(spark):
+    from lexweave.operators import facets
+
+    rows = spark.createDataFrame([("f", "t", "long", 1, 2), ("f", "t", "s", 1, 3), ("f", None, None, None, 2), ("g", "t", "s", 5, None)], "facet string, tag string, label string, source_id int, family int")
+    got = facets.registry(rows)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([("f", "t", "s", 2, 1, 2), ("f", None, None, 0, 0, 1), ("g", "t", "s", 1, 1, 0)], key=repr)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_are_counted_once(spark):
+    notes = spark.createDataFrame([(i, "", f"big cats run{i % 3} far") for i in range(9)], "note_id long, title string, body string")
+    members = spark.createDataFrame([(i, i % 3) for i in range(9)], "note_id long, community int")
+    plan = labels.label_candidates(labels.phrase_weights(notes), members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # texts were read again for each use of the sums before

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import STOP_WORDS, fold
+from .text import SPACE, STOP_WORDS, fold, lower, upper
 
 # Patterns and words of the note format.
 PATTERNS = {
@@ -87,10 +87,10 @@ def phrase_overlap(a: Column, b: Column) -> Column:
 
 def display(x: Column) -> Column:
     """One line without signs around it; capitals only become lower case but for short words; the first letter is a capital."""
-    one = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "^[ \\-*_`'’\"“”]+|[ \\-*_`'’\"“”]+$", "")
-    calm = F.array_join(F.transform(F.split(one, " "), lambda w: F.when(F.length(w) <= 4, w).otherwise(F.lower(w))), " ")
-    one = F.when((one == F.upper(one)) & (one != F.lower(one)), calm).otherwise(one)
-    return F.concat(F.upper(F.substring(one, 1, 1)), one.substr(F.lit(2), F.length(one)))
+    one = F.regexp_replace(F.regexp_replace(x, SPACE + "+", " "), "^[ \\-*_`'’\"“”]+|[ \\-*_`'’\"“”]+$", "")
+    calm = F.array_join(F.transform(F.split(one, " "), lambda w: F.when(F.length(w) <= 4, w).otherwise(lower(w))), " ")
+    one = F.when((one == upper(one)) & (one != lower(one)), calm).otherwise(one)
+    return F.concat(upper(F.substring(one, 1, 1)), one.substr(F.lit(2), F.length(one)))
 
 
 def slugify(x: Column, fallback: str = "item") -> Column:

@@ -71,7 +71,7 @@ c AS (SELECT doc_id, CASE WHEN d = upper(d) AND d <> lower(d) THEN array_to_stri
 SELECT doc_id, upper(substr(c, 1, 1)) || substr(c, 2) AS display FROM c""")
 def display_names(spark, sf_dir):
     t = tx.title(F.col("text"))
-    shouted = F.when(F.col("doc_id") % 2 == 0, F.upper(F.replace(t, F.lit("ß"), F.lit("ss")))).otherwise(F.concat(F.lit("* "), t))
+    shouted = F.when(F.col("doc_id") % 2 == 0, tx.upper(F.replace(t, F.lit("ß"), F.lit("ss")))).otherwise(F.concat(F.lit("* "), t))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", nt.display(shouted).alias("display"))
 
 

@@ -444,3 +444,12 @@ def test_phrases_are_counted_once(spark):
     members = spark.createDataFrame([(i, i % 3) for i in range(9)], "note_id long, community int")
     plan = labels.label_candidates(labels.phrase_weights(notes), members)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # texts were read again for each use of the sums before
+
+
+def test_display_names_of_odd_letters_equal_sql(spark, duck, tmp_path):
+    odd = ["\x0bab c", "\xa0AB C　", "ßab ﬁne", "İSTANBUL İİİİİİ", "ŉab", "ΑΣ ΟΔΥΣΣΕΥΣ", "ᾳx", "ΐ", "ƛambda", "ab\x85c", "plain text"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(t for t in odd for _ in (0, 1))], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r["doc_id"]: r["display"] for r in catalog.QUERIES["display_names"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(catalog.ORACLE_SQL["display_names"]).fetchall())

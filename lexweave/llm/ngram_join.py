@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, placed, release, written
+from .common import dropped, lean, placed, release, written
 from .components import components
 from .shingles import MinHash, mixed, shingle_hashes
 
@@ -125,7 +125,7 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["key", "id", "fp", "size", "bands"])
 
     more = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return written(base.mapInArrow(run, T.StructType([*base.drop("text").schema.fields, *more])), "texts")
+    return written(base.mapInArrow(lean(run), T.StructType([*base.drop("text").schema.fields, *more])), "texts")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def compared(docs: DataFrame, nodes: DataFrame, threshold: float, group: int, te
     # texts of candidates only; both sides are shuffled, and on large tables Spark filters the texts by a Bloom filter first
     texts = docs.select(F.col("key").alias("node"), F.col(f"doc.`{text_col}`").cast("string").alias("body"))
     loaded = nodes.select("node", "no", "part", "blocks", "block", "copies").hint("merge").join(texts, "node").drop("node")
-    pairs = loaded.mapInArrow(_payload, T.StructType([*loaded.drop("body").schema.fields, T.StructField("sig", T.BinaryType()), T.StructField("hashes", T.BinaryType())]))
+    pairs = loaded.mapInArrow(lean(_payload), T.StructType([*loaded.drop("body").schema.fields, T.StructField("sig", T.BinaryType()), T.StructField("hashes", T.BinaryType())]))
     small = max(1, math.ceil((nodes.where("blocks = 0").agg(F.sum("weight")).head()[0] or 0) / group))
     other = F.explode(F.when(F.col("blocks") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))).alias("other")
     whole = F.col("blocks") == 0

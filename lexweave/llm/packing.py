@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, id_text, kind_of, written
+from .common import CACHE_ENTRIES, id_text, kind_of, lean, written
 
 LENGTH = 4096
 #: Bins that one packer holds open; with random arrival the loss against unbounded best fit is far below one percent.
@@ -70,7 +70,7 @@ PLAIN, AFTER = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", ".,!?;:"
 #: Space to str.split, but not to the tokenizer.
 ODD = "[\x1c-\x1f]"
 #: Characters of texts that are split into words at a time.
-SLICE = 8_000_000
+SLICE = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -219,7 +219,7 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end_i
                 [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return id_text(docs).mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, piece int, start long, length long, ids_crc32 long")
+    return id_text(docs).mapInArrow(lean(run), f"doc_id {kind_of(docs, 'doc_id')}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, most_open: int = OPEN, pieces: int = PIECES) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language_id, ngram_join, packing, toxicity
-from .common import dropped, written
+from .common import dropped, lean, written
 from .queries import table, vocabulary
 
 #: A language that is predicted with less than this is unsure.
@@ -30,7 +30,7 @@ def keep_where(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str
         for b in batches:
             yield b.filter(pa.array([good(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -453,3 +453,15 @@ def test_pipeline_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{source}/documents.parquet").limit(0)
     for _, of in pipeline.STAGES:
         assert of(spark, docs, source).count() == 0
+
+
+def test_packing_memory_does_not_grow_with_a_batch(tokenizer_json):
+    import tracemalloc
+
+    words = packing.WordIds(tokenizer_json)
+    texts = pa.array(["the cat sat on a mat " * 400] * 1000)  # 8.4 million characters
+    tracemalloc.start()
+    n = sum(len(ids) for ids in words.of(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1000 * 400 * 6 and peak < 120e6

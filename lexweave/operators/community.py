@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Edges that one task's Louvain takes; more is an error.
-EDGES = 1_000_000
+#: Edges that one task's Louvain takes, of some 200 bytes each; more is an error.
+EDGES = 10_000_000
 
 
 def label_propagation(edges: DataFrame, rounds: int = 6, least: float = 0.0) -> DataFrame:
@@ -32,52 +33,87 @@ def label_propagation(edges: DataFrame, rounds: int = 6, least: float = 0.0) ->
     return labels
 
 
-def louvain(edges: list[tuple], resolution: float = 1.0, seed: int = 0) -> dict:
-    """node -> community of weighted edges (a, b, w): local moving and aggregation until modularity stops rising."""
-    weight: dict = defaultdict(lambda: defaultdict(float))
-    for a, b, w in edges:
-        weight[a][b] += w
-        weight[b][a] += w
-    part = {n: n for n in weight}
-    graph = {n: dict(v) for n, v in weight.items()}
-    rng = random.Random(seed)
-    while True:
-        degree = {n: sum(v.values()) + v.get(n, 0) for n, v in graph.items()}
-        total = sum(degree.values()) or 1.0
-        home, mass = {n: n for n in graph}, dict(degree)
-        moved_any, moved = False, True
-        order = sorted(graph, key=str)
-        rng.shuffle(order)
-        while moved:
-            moved = False
-            for n in order:
-                near: dict = defaultdict(float)
-                for m, w in graph[n].items():
-                    if m != n:
-                        near[home[m]] += w
-                mass[home[n]] -= degree[n]
-                gain = lambda c, near=near, n=n: near.get(c, 0.0) - resolution * degree[n] * mass[c] / total
-                best = max(sorted({home[n], *near}, key=str), key=gain)
-                if gain(best) <= gain(home[n]) + 1e-12:
-                    best = home[n]
-                moved |= best != home[n]
-                home[n] = best
-                mass[best] += degree[n]
-            moved_any |= moved
-        if not moved_any:
-            break
-        part = {n: home[c] for n, c in part.items()}
-        folded: dict = defaultdict(lambda: defaultdict(float))
-        for n, v in graph.items():
-            for m, w in v.items():
-                folded[home[n]][home[m]] += w if n != m else w
-        if len(folded) == len(graph):
+def _folded(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges with left <= right, each pair once, in order; an edge inside a node is its weight, once."""
+    pair, at = np.unique(np.minimum(left, right) * n + np.maximum(left, right), return_inverse=True)
+    return pair // n, pair % n, np.bincount(at, weight, len(pair))
+
+
+def _homes(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int, resolution: float, rng: random.Random) -> list[int]:
+    """Local moving: the community of each of n nodes once no node gains by a move; of equal gains the smaller one's.
+
+    A node that stayed is looked at again when a neighbour has moved, or when so much degree has moved anywhere that a
+    community's mass may outweigh the lead of its own: until then it would stay, so the result is that of looking at all.
+    """
+    inner = left == right
+    degree = np.bincount(left, weight, n) + np.bincount(right, weight, n)
+    total = float(degree.sum()) or 1.0
+    left, right, weight = left[~inner], right[~inner], weight[~inner]
+    source, to = np.concatenate([left, right]), np.concatenate([right, left])
+    by = np.lexsort((to, source))
+    starts = np.searchsorted(source[by], np.arange(n + 1)).tolist()
+    to, weight = memoryview(to[by].astype(np.int32)), memoryview(np.concatenate([weight, weight])[by])
+    del left, right, source, by
+    degree = degree.tolist()
+    home, mass = list(range(n)), list(degree)
+    calm = [-1.0] * n  # degree moved so far up to which the node surely stays
+    order, gone, moved = list(range(n)), 0.0, True
+    rng.shuffle(order)
+    while moved:
+        moved = False
+        for x in order:
+            if calm[x] >= gone:
+                continue
+            around, own, pull = to[starts[x] : starts[x + 1]].tolist(), home[x], resolution * degree[x] / total
+            near = {own: 0.0}
+            for y, w in zip(around, weight[starts[x] : starts[x + 1]].tolist(), strict=True):
+                c = home[y]
+                near[c] = near.get(c, 0.0) + w
+            mass[own] -= degree[x]
+            stay = near.pop(own) - pull * mass[own]
+            best, most, second = own, -math.inf, -math.inf
+            for c, w in near.items():
+                gain = w - pull * mass[c]
+                if gain > most or (gain == most and c < best):
+                    best, most, second = c, gain, most
+                elif gain > second:
+                    second = gain
+            if most > stay + 1e-12:
+                lead, moved, home[x] = most - max(stay, second), True, best
+                gone += degree[x]
+                for y in around:
+                    calm[y] = -1.0
+            else:
+                lead, best = stay - most, own
+            mass[best] += degree[x]
+            # the masses of two communities differ by at most twice the degree that has moved
+            calm[x] = math.inf if not pull else gone + lead / (2 * pull) * (1 - 1e-6) - 1e-9 * total
+    return home
+
+
+def _communities(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int, resolution: float, seed: int) -> np.ndarray:
+    """The community of each of n nodes: local moving and aggregation until modularity stops rising."""
+    rng, part = random.Random(seed), np.arange(n)
+    left, right, weight = _folded(left, right, weight, n)
+    while n:
+        own, home = np.unique(_homes(left, right, weight, n, resolution, rng), return_inverse=True)
+        if len(own) == n:
             break
-        graph = {n: {m: (w / 2 if m == n else w) for m, w in v.items()} for n, v in folded.items()}
-    members: dict = defaultdict(list)
-    for n, c in part.items():
-        members[c].append(n)
-    return {n: min(own) for own in members.values() for n in own}
+        part, n = home[part], len(own)
+        left, right, weight = _folded(home[left], home[right], weight, n)
+    return part
+
+
+def louvain(edges: list[tuple], resolution: float = 1.0, seed: int = 0) -> dict:
+    """node -> community, named by its smallest node, of weighted edges (a, b, w)."""
+    names = sorted({n for e in edges for n in e[:2]}, key=str)
+    number = {n: i for i, n in enumerate(names)}
+    ends = np.array([(number[a], number[b]) for a, b, _ in edges], np.int64).reshape(-1, 2)
+    part = _communities(ends[:, 0], ends[:, 1], np.array([w for *_, w in edges], np.float64), len(names), resolution, seed)
+    first: dict = {}
+    for n, c in zip(names, part.tolist(), strict=True):
+        first[c] = min(first.get(c, n), n)
+    return {n: first[c] for n, c in zip(names, part.tolist(), strict=True)}
 
 
 def louvain_partition(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -89,8 +125,14 @@ def louvain_partition(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["left_id", "right_id"])
-        got = louvain(list(rows[["left_id", "right_id", "score"]].itertuples(index=False, name=None)), resolution)
-        return pd.DataFrame(sorted(got.items()), columns=["node", "community"])
+        codes, names = pd.factorize(pd.concat([rows["left_id"], rows["right_id"]], ignore_index=True))
+        place = np.empty(len(names), np.int64)
+        place[np.argsort(names.astype(str), kind="stable")] = np.arange(len(names))
+        ends = place[codes].reshape(2, -1)
+        part = _communities(*ends, rows["score"].to_numpy(np.float64), len(names), resolution, 0)[place]
+        out = pd.DataFrame({"node": names, "community": part})
+        out["community"] = out.groupby("community")["node"].transform("min")
+        return out.sort_values("node")
 
     return edges.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"node {kind}, community {kind}")
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..session import written
 
 #: Queries are given by the caller; a table of up to so many words is sent to all tasks, a larger one shuffled.
 WORDS_SENT = 200_000
 #: Query vectors that go to all tasks at a time; a larger set is asked in blocks of about so many.
 VECTORS_SENT = 1000
+#: Numbers in a task's table of weights (words by queries) and in its table of scores (sources by queries).
+CELLS = 4_000_000
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,6 +48,73 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: s
     return posts.join(asked.join(weights, "word"), "word").groupBy("query_id", "source_id").agg(F.sum("w").alias("score")).where(F.col("score") > 0)
 
 
+def lexical_ranked(docs: DataFrame, queries: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """query_id, source_id, score, rank: ``lexical_scores`` ranked to nine digits, without its row for each shared word.
+
+    Texts are split once: a source's words that queries hold are written as numbers. A task adds up weights for some
+    sources and all queries at a time and puts out what may be among the first of a query, so the shuffle grows with
+    queries and tasks, not with matches. More words of queries than are sent to all tasks are joined as rows.
+    """
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    asked = queries.select("query_id", F.explode(tx.words(F.col("text"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    found = asked.limit(WORDS_SENT + 1).collect()
+    if not 0 < len(found) <= WORDS_SENT:
+        return ranked(lexical_scores(docs, queries, id_col, text_col), most, digits=9)
+    number, query = {w: i for i, w in enumerate(sorted({r["word"] for r in found}))}, {}
+    places = np.array([(number[r["word"]], query.setdefault(r["query_id"], len(query)), r["times"]) for r in found])
+    terms = F.broadcast(spark.createDataFrame(list(number.items()), "word string, term int"))  # at most WORDS_SENT
+    # words of queries are no stop words and long enough, so those of texts need not be looked at for that
+    words = docs.select(F.col(id_col).alias("source_id"), F.explode(F.array_distinct(tx.tokens(F.col(text_col)))).alias("word"))
+    posts = written(words.join(terms, "word").groupBy("source_id").agg(F.sort_array(F.collect_list("term")).alias("terms")), "lexical-terms")
+    df = document_frequency(posts.select(F.explode("terms").alias("word")))
+    weight = np.zeros(len(number))
+    for r in df.select("word", tx.idf(F.lit(docs.count()), F.col("df")).alias("w")).collect():
+        weight[r["word"]] = r["w"]
+    scores = posts.mapInArrow(_first_scores(places, weight, len(query), most), T.StructType([T.StructField("query", T.IntegerType()), T.StructField("source_id", kind), T.StructField("score", T.DoubleType())]))
+    names = spark.createDataFrame([(i, q) for q, i in query.items()], T.StructType([T.StructField("query", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
+    return ranked(scores.join(F.broadcast(names), "query").select("query_id", "source_id", "score"), most, digits=9)
+
+
+def _first_scores(places: np.ndarray, weight: np.ndarray, queries: int, most: int):
+    """A function over batches of source_id, terms: the scores that may be among the first ``most`` of a query.
+
+    places: term, query, times. Scores within two units of the ninth digit of the last of them stay, of equal ones those
+    of the smallest ids, so rounding and ties are decided by who ranks the rest.
+    """
+    block = max(1, CELLS // len(weight))
+    step = max(most, CELLS // min(block, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor, tables = np.full(queries, 1e-300), {}
+        for b in batches:
+            ids, flat = b.column(0), b.column(1).flatten().to_numpy()
+            ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+            place = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+            for first in range(0, queries, block):
+                if first not in tables:
+                    tables.clear()
+                    own = places[(places[:, 1] >= first) & (places[:, 1] < first + block)]
+                    tables[first] = np.zeros((len(weight), min(block, queries - first)))
+                    tables[first][own[:, 0], own[:, 1] - first] = weight[own[:, 0]] * own[:, 2]
+                table = tables[first]
+                for at in range(0, len(ids), step):
+                    bounds = [0 if at == 0 else int(ends[at - 1]), *ends[at : at + step].tolist()]
+                    score = np.array([table[flat[lo:hi]].sum(axis=0) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)])
+                    low = floor[first : first + block]
+                    if len(score) > most:
+                        np.maximum(low, np.partition(score, len(score) - most, axis=0)[len(score) - most] - 2e-9, out=low)
+                    q, i = np.nonzero((score >= low).T)
+                    value = score[i, q]
+                    order = np.lexsort((place[at + i], -value, q))
+                    q, i, value = q[order], i[order], value[order]
+                    n = np.arange(len(q))
+                    fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (value[1:] != value[:-1])])[: len(q)]
+                    keep = n - np.maximum.accumulate(np.where(fresh, n, 0)) < most
+                    yield pa.RecordBatch.from_arrays([pa.array(first + q[keep], pa.int32()), ids.take(pa.array(at + i[keep])), pa.array(value[keep])], ["query", "source_id", "score"])
+
+    return run
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, source_id, score of all vectors (source_id, vector) for given query vectors (query_id, vector), negative ones too."""
     asked = queries.select("query_id", F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // VECTORS_SENT)))).alias("part"))
@@ -78,7 +153,7 @@ def excerpt_offset(text: Column, query_words: Column, before: int = 160) -> Colu
 
 def hybrid_recall(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_route: int = 32, most: int = 8) -> DataFrame:
     """query_id, source_id, rank, score, route, offset: both routes' first sources, fused, the best of them with an excerpt."""
-    lexical = ranked(lexical_scores(docs, queries, id_col, text_col), per_route, digits=9)
+    lexical = lexical_ranked(docs, queries, per_route, id_col, text_col)
     known = vectors.join(docs.select(F.col(id_col).alias("source_id")), "source_id", "left_semi")
     dense = ranked(dense_scores(known, query_vectors), per_route)
     fused = ranked(reciprocal_rank({"lexical": lexical, "dense": dense}), most, digits=12)

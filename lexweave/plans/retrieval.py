@@ -25,7 +25,7 @@ def doc_frequency(spark, sf_dir):
 @register(f"WITH {sql.SCORES} SELECT query_id, source_id, round(score, 6) AS score, rank FROM lexical")
 def lexical_rank(spark, sf_dir):
     docs, asked, _, _ = _inputs(spark, sf_dir)
-    return op.ranked(op.lexical_scores(docs, asked, "doc_id", "text"), 32, digits=9).select("query_id", "source_id", F.round("score", 6).alias("score"), "rank")
+    return op.lexical_ranked(docs, asked, 32, "doc_id", "text").select("query_id", "source_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register(f"WITH {sql.DENSE} SELECT query_id, source_id, round(score, 6) AS score, rank FROM dense")
@@ -37,7 +37,7 @@ def dense_rank(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     docs, asked, vectors, by = _inputs(spark, sf_dir)
-    lexical = op.ranked(op.lexical_scores(docs, asked, "doc_id", "text"), 32, digits=9)
+    lexical = op.lexical_ranked(docs, asked, 32, "doc_id", "text")
     known = vectors.join(docs.select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
     return op.reciprocal_rank({"lexical": lexical, "dense": op.ranked(op.dense_scores(known, by), 32)})
 

@@ -490,3 +490,30 @@ def test_louvain_looks_again_where_nodes_would_move(spark):
     df = spark.createDataFrame(edges, "left_id long, right_id long, score double").repartition(3)
     assert {r["node"]: r["community"] for r in community.louvain_partition(df).collect()} == community.louvain(edges)
     assert community.louvain_partition(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 60])
+def test_first_of_many_texts_are_those_of_all_scores(spark, monkeypatch, cells):
+    """Ties, null and repeated ids, repeated and wordless questions, in small batches and blocks."""
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    rng = random.Random(8)
+    some = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the", "x", "Omega", "rare1", "rare2"]) for _ in range(rng.randint(0, 4)))
+    texts = [(f"s{i % 390:03d}" if i % 97 else None, rng.choice([None, "alpha beta", some()])) for i in range(400)]
+    docs = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    asked = spark.createDataFrame([(f"q{i % 11}", some()) for i in range(12)] + [("none", "the of"), (None, "beta rare1")], "query_id string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        got = [tuple(r) for r in retrieval.lexical_ranked(docs, asked, 5, "id", "text").selectExpr("query_id", "source_id", "round(score, 6)", "rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = retrieval.ranked(retrieval.lexical_scores(docs, asked, "id", "text"), 5, digits=9).selectExpr("query_id", "source_id", "round(score, 6)", "rank")
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_lexical_ranking_moves_no_row_for_each_shared_word(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('alpha beta gamma ', id) AS text")
+    asked = spark.range(40).selectExpr("id AS query_id", "'alpha beta gamma' AS text")
+    scores = retrieval.lexical_ranked(docs, asked, 2, "doc_id", "text")
+    assert "exploded" not in scores._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["source_id"] for r in scores.where("query_id = 7").orderBy("rank").collect()] == [0, 1]

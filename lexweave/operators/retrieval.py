@@ -19,6 +19,8 @@ from ..session import written
 WORDS_SENT = 200_000
 #: Query vectors that go to all tasks at a time; a larger set is asked in blocks of about so many.
 VECTORS_SENT = 1000
+#: Query vectors whose scores are added up by arrays; more are asked as rows.
+QUERIES_SENT = 20_000
 #: Numbers in a task's table of weights (words by queries) and in its table of scores (sources by queries).
 CELLS = 4_000_000
 
@@ -100,21 +102,27 @@ def _first_scores(places: np.ndarray, weight: np.ndarray, queries: int, most: in
                 for at in range(0, len(ids), step):
                     bounds = [0 if at == 0 else int(ends[at - 1]), *ends[at : at + step].tolist()]
                     score = np.array([table[flat[lo:hi]].sum(axis=0) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)])
-                    low = floor[first : first + block]
-                    if len(score) > most:
-                        np.maximum(low, np.partition(score, len(score) - most, axis=0)[len(score) - most] - 2e-9, out=low)
-                    q, i = np.nonzero((score >= low).T)
-                    value = score[i, q]
-                    order = np.lexsort((place[at + i], -value, q))
-                    q, i, value = q[order], i[order], value[order]
-                    n = np.arange(len(q))
-                    fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (value[1:] != value[:-1])])[: len(q)]
-                    keep = n - np.maximum.accumulate(np.where(fresh, n, 0)) < most
-                    yield pa.RecordBatch.from_arrays([pa.array(first + q[keep], pa.int32()), ids.take(pa.array(at + i[keep])), pa.array(value[keep])], ["query", "source_id", "score"])
+                    q, i, value = _among_first(score, floor[first : first + block], place[at : at + step], most, 2e-9)
+                    yield pa.RecordBatch.from_arrays([pa.array(first + q, pa.int32()), ids.take(pa.array(at + i)), pa.array(value)], ["query", "source_id", "score"])
 
     return run
 
 
+def _among_first(score: np.ndarray, low: np.ndarray, place: np.ndarray, most: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, source, score of what may be among the first ``most`` of a query; score: sources by queries, place: the order of
+    sources by id, low: the least score of each query that may be, raised to what is known now, less ``slack``."""
+    if len(score) > most:
+        np.maximum(low, np.partition(score, len(score) - most, axis=0)[len(score) - most] - slack, out=low)
+    q, i = np.nonzero((score >= low).T)
+    value = score[i, q]
+    order = np.lexsort((place[i], -value, q))
+    q, i, value = q[order], i[order], value[order]
+    n = np.arange(len(q))
+    fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (value[1:] != value[:-1])])[: len(q)]
+    keep = n - np.maximum.accumulate(np.where(fresh, n, 0)) < most
+    return q[keep], i[keep], value[keep]
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, source_id, score of all vectors (source_id, vector) for given query vectors (query_id, vector), negative ones too."""
     asked = queries.select("query_id", F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // VECTORS_SENT)))).alias("part"))
@@ -123,6 +131,48 @@ def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select("query_id", "source_id", tx.dot(F.col("vector"), F.col("q")).alias("score"))
 
 
+def dense_ranked(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query_id, source_id, score, rank: ``dense_scores`` ranked, without its row for each pair.
+
+    Products are added up in the order of the components, as in ``dense_scores``, for some sources and some queries at a
+    time; a task puts out what may be among the first of a query. Vectors with nulls, numbers that are not finite or whose
+    products might not be, or another length than the queries' are looked at as rows, and so are all if a query is such.
+    """
+    spark, kind = vectors.sparkSession, vectors.schema["source_id"].dataType
+    whole = lambda c: F.col(c).cast("array<double>")
+    finite = lambda c: F.coalesce(F.forall(whole(c), lambda x: F.coalesce(F.abs(x) < 1e150, F.lit(False))), F.lit(False))
+    asked = queries.select("query_id", whole("vector").alias("vector"), F.when(finite("vector"), F.size("vector")).alias("d"))
+    found = asked.limit(QUERIES_SENT + 1).collect()
+    lengths = {r["d"] for r in found}
+    if len(found) > QUERIES_SENT or len(lengths) != 1 or not max(lengths, key=lambda d: d or 0):
+        return ranked(dense_scores(vectors, queries), most)
+    d = lengths.pop()
+    plain = finite("vector") & (F.size("vector") == d)
+    q = np.array([r["vector"] for r in found], np.float64)
+    step = max(most, CELLS // min(len(q), VECTORS_SENT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full(len(q), -np.inf)
+        for b in batches:
+            ids = b.column(0)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            place = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+            for first in range(0, len(q), VECTORS_SENT):
+                by = np.ascontiguousarray(q[first : first + VECTORS_SENT].T)
+                for at in range(0, len(ids), step):
+                    part = x[at : at + step]
+                    score, one = np.zeros((len(part), by.shape[1])), np.empty((len(part), by.shape[1]))
+                    for k in range(d):
+                        score += np.multiply(part[:, k, None], by[k], out=one)
+                    n, i, value = _among_first(score, floor[first : first + VECTORS_SENT], place[at : at + step], most, 0.0)
+                    yield pa.RecordBatch.from_arrays([pa.array(first + n, pa.int32()), ids.take(pa.array(at + i)), pa.array(value)], ["query", "source_id", "score"])
+
+    scores = vectors.where(plain).select("source_id", whole("vector")).mapInArrow(run, T.StructType([T.StructField("query", T.IntegerType()), T.StructField("source_id", kind), T.StructField("score", T.DoubleType())]))
+    names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(found)], T.StructType([T.StructField("query", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
+    rest = dense_scores(vectors.where(~plain), queries)
+    return ranked(scores.join(F.broadcast(names), "query").select("query_id", "source_id", "score").unionByName(rest), most)
+
+
 def ranked(scores: DataFrame, most: int, score: str = "score", digits: int | None = None) -> DataFrame:
     """The first ``most`` sources of each query by (-score, id); ranks are pruned in each task before the shuffle."""
     value = F.round(score, digits) if digits is not None else F.col(score)
@@ -155,7 +205,7 @@ def hybrid_recall(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query
     """query_id, source_id, rank, score, route, offset: both routes' first sources, fused, the best of them with an excerpt."""
     lexical = lexical_ranked(docs, queries, per_route, id_col, text_col)
     known = vectors.join(docs.select(F.col(id_col).alias("source_id")), "source_id", "left_semi")
-    dense = ranked(dense_scores(known, query_vectors), per_route)
+    dense = dense_ranked(known, query_vectors, per_route)
     fused = ranked(reciprocal_rank({"lexical": lexical, "dense": dense}), most, digits=12)
     asked = queries.select("query_id", tx.words(F.col("text")).alias("asked"))
     # at most queries x most rows: the documents are scanned once more and only these are kept

@@ -32,14 +32,14 @@ def lexical_rank(spark, sf_dir):
 def dense_rank(spark, sf_dir):
     docs, _, vectors, asked = _inputs(spark, sf_dir)
     known = vectors.join(docs.select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
-    return op.ranked(op.dense_scores(known, asked), 32).select("query_id", "source_id", F.round("score", 6).alias("score"), "rank")
+    return op.dense_ranked(known, asked, 32).select("query_id", "source_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _fused(spark, sf_dir):
     docs, asked, vectors, by = _inputs(spark, sf_dir)
     lexical = op.lexical_ranked(docs, asked, 32, "doc_id", "text")
     known = vectors.join(docs.select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
-    return op.reciprocal_rank({"lexical": lexical, "dense": op.ranked(op.dense_scores(known, by), 32)})
+    return op.reciprocal_rank({"lexical": lexical, "dense": op.dense_ranked(known, by, 32)})
 
 
 @register(f"WITH {sql.SCORES}, {sql.DENSE}, {sql.FUSED} SELECT query_id, source_id, round(score, 9) AS score, lexical_rank, dense_rank FROM fused")

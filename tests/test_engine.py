@@ -517,3 +517,24 @@ def test_lexical_ranking_moves_no_row_for_each_shared_word(spark):
     scores = retrieval.lexical_ranked(docs, asked, 2, "doc_id", "text")
     assert "exploded" not in scores._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in scores._jdf.queryExecution().optimizedPlan().toString()
     assert [r["source_id"] for r in scores.where("query_id = 7").orderBy("rank").collect()] == [0, 1]
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 60])
+def test_first_of_many_vectors_are_those_of_all_scores(spark, monkeypatch, cells):
+    """Ties, null ids, vectors that are null, short or not finite; then a question of that kind."""
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 7)).round(1).astype("f4").tolist()
+    odd = {5: None, 6: [1.0], 7: [float("nan")] * 7, 8: [float("inf")] * 7, 9: [None, *[1.0] * 6], 10: [], 11: [1e30] * 7}
+    vectors = spark.createDataFrame([(i if i != 40 else None, odd.get(i, x[i % 90])) for i in range(300)], "source_id long, vector array<float>").repartition(3)
+    asked = [(f"q{i}", x[-i - 1]) for i in range(13)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        for more in ([], [("null", None)], [("short", [2.0])]):
+            by = spark.createDataFrame(asked + more, "query_id string, vector array<float>")
+            got, want = retrieval.dense_ranked(vectors, by, 5), retrieval.ranked(retrieval.dense_scores(vectors, by), 5)
+            same = lambda df, want=want: sorted(tuple(map(str, r)) for r in df.select(*want.columns).collect())  # noqa: E731  NaN as text
+            assert same(got) == same(want)
+            assert ("MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()) == (not more)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

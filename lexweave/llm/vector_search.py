@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import lean, written
 from .vectors import blocks, matrix, numbered
 
 #: Vectors that codebooks are fitted on: the documented bound of the sample. All vectors are indexed.
@@ -30,8 +30,10 @@ SAMPLE = 8000
 #: Dimensions of a subspace, centres of a codebook (four bits), the share of a vector's length from which scores matter.
 WIDTH, CENTRES, FROM = 2, 16, 0.2
 NEIGHBOURS = 20
-#: Vectors of an index block, queries of a query block.
-BLOCK, QUERIES = 65_536, 512
+#: Vectors of an index block, of a part of it (a block is stored and travels as rows of one part each), queries of a query block.
+BLOCK, PART, QUERIES = 65_536, 8192, 512
+#: Tasks that are wanted: where index blocks are fewer, query blocks are dealt to groups and a block goes to each group.
+TASKS = 24
 #: Rows of a block that a query ranks exactly first, and random ones that the scan's errors are learned from beside them.
 RERANK, PROBES = 400, 256
 #: Standard deviations of the scan's relative error that a row may lie above its scan. A row whose residual is more
@@ -190,6 +192,28 @@ def best(rough: np.ndarray, q: np.ndarray, x: np.ndarray, left: np.ndarray, keys
     return rows[order], score[order]
 
 
+def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """The rows of batches one by one, as a batch and as values: rows are large, so no more than one is copied at a time."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            one = batch.slice(at, 1)
+            yield one, one.to_pylist()[0]
+
+
+def assembled(parts: list[dict]) -> tuple[np.ndarray, ...]:
+    """x, left, keys, none, ids, rids and codes of an index block from its parts, which are let go of."""
+    of = lambda name, kind: np.concatenate([np.frombuffer(t[name], kind) for t in parts])
+    ids, none, rids, left = of("ids", "<i8"), of("none", bool), of("rids", "<i8"), of("rest", np.float64)
+    codes = np.concatenate([np.frombuffer(t["codes"], np.uint8).reshape(-1, t["n"]) for t in parts], axis=1)
+    x = np.zeros((len(ids), parts[0]["d"]))
+    at = 0
+    while parts:
+        t = parts.pop(0)
+        x[at : at + t["n"]] = matrix(t["data"], t["n"], t["d"])
+        at += t["n"]
+    return x, left, np.where(none, np.iinfo(np.int64).max, ids), none, ids, rids, codes
+
+
 def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int = SAMPLE, block: int = BLOCK, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose id is divisible by ``every`` the k rows of largest inner product.
 
@@ -206,42 +230,51 @@ def search(table: DataFrame, every: int = 20, k: int = NEIGHBOURS, sample: int =
         part = good.where(F.col("d") == d).where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / n))
         x = [r[0] for r in part.orderBy("rid").select("x").collect()]
         models[d] = fit(np.array(x or good.where(F.col("d") == d).orderBy("rid").limit(1).select("x").head()["x"]).reshape(-1, d))
-    packed = blocks(rows, block)
+    part = min(block, PART)
+    packed = blocks(rows, part)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, left = [], []
-            for t in batch.to_pylist():
-                model, x = models[t["d"]], matrix(t["data"], t["n"], t["d"])
-                found = model.encode(x)
-                codes.append(model.packed(found).tobytes())
-                left.append(residuals(model, x, found).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(left, pa.binary())], [*batch.schema.names, "codes", "rest"])
+        for batch, t in singles(batches):
+            model, x = models[t["d"]], matrix(t["data"], t["n"], t["d"])
+            found = model.encode(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model.packed(found).tobytes()], pa.binary()), pa.array([residuals(model, x, found).tobytes()], pa.binary())], [*batch.schema.names, "codes", "rest"])
 
     # every vector is encoded once, when the index is made
-    index = written(packed.mapInArrow(coded, T.StructType([*packed.schema.fields, T.StructField("codes", T.BinaryType()), T.StructField("rest", T.BinaryType())])), "index")
+    index = written(packed.mapInArrow(lean(coded), T.StructType([*packed.schema.fields, T.StructField("codes", T.BinaryType()), T.StructField("rest", T.BinaryType())])), "index")
     asked = blocks(rows.where((F.col("id") % every) == 0), QUERIES)
 
-    # queries against all rows: a block of queries goes to each block of codes
-    count = index.groupBy("d").agg(F.max("blocks").alias("all"))  # one row for each dimension
-    sent = asked.join(F.broadcast(count), "d").select("d", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("block"), F.col("n").alias("n_q"), F.col("rids").alias("rids_q"), F.col("data").alias("data_q"))
-    pairs = index.select("d", "block", "n", "ids", "none", "rids", "data", "codes", "rest").join(sent, ["d", "block"])
+    # queries against all rows: an index block comes to a task once, part by part, and blocks of queries after it
+    sizes = index.groupBy("d").agg(F.ceil(F.max("blocks") / max(1, block // part)).cast("int").alias("all")).join(asked.groupBy("d").agg(F.max("blocks").alias("chunks")), "d")
+    sizes = sizes.withColumn("groups", F.least("chunks", F.ceil(F.lit(TASKS) / F.col("all"))).cast("int"))  # one row for each dimension
+    number = sizes.agg(F.sum(F.col("all") * F.col("groups"))).head()[0] or 1
+    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "none", "codes", "rest")]
+    parts = index.join(F.broadcast(sizes.select("d", "all", "groups")), "d").select("d", (F.col("block") % F.col("all")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("kind"), "block", "n", "rids", "data", "ids", "none", "codes", "rest")
+    sent = asked.join(F.broadcast(sizes.select("d", "all", "groups")), "d").select("d", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("at"), (F.col("block") % F.col("groups")).alias("group"), F.lit(1).alias("kind"), "block", "n", "rids", "data", *none)
+    # twice as many places as tasks, so that few of them meet in one
+    pairs = parts.unionByName(sent).repartition(2 * number, "d", "at", "group").sortWithinPartitions("d", "at", "group", "kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.to_pylist():
-                none, ids, rids = np.frombuffer(t["none"], bool), np.frombuffer(t["ids"], "<i8"), np.frombuffer(t["rids"], "<i8")
-                keys, own = np.where(none, np.iinfo(np.int64).max, ids), np.frombuffer(t["rids_q"], "<i8")
-                codes, q = np.frombuffer(t["codes"], np.uint8).reshape(-1, t["n"]), matrix(t["data_q"], t["n_q"], t["d"])
-                x, left = matrix(t["data"], t["n"], t["d"]), np.frombuffer(t["rest"])
-                probes = np.random.default_rng(7).permutation(t["n"])[:PROBES]
-                for at in range(0, len(q), 64):
-                    rough = scan(codes, models[t["d"]].tables(q[at : at + 64]))
-                    top = [best(r, v, x, left, keys, rids, me, k, rerank, probes) for r, v, me in zip(rough, q[at : at + 64], own[at : at + 64], strict=True)]
-                    i, j = np.repeat(np.arange(len(top)), [len(rows) for rows, _ in top]), np.concatenate([rows for rows, _ in top])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(rids[j]), pa.array(ids[j], mask=none[j]), pa.array(np.concatenate([score for _, score in top]))], ["query", "rid", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query long, rid long, vec_id long, score double")
+        key, held, ready = None, [], None
+        for _, t in singles(batches):
+            if (t["d"], t["at"], t["group"]) != key:
+                key, held, ready = (t["d"], t["at"], t["group"]), [], None
+            if t["kind"] == 0:
+                held.append(t)
+                continue
+            if held:
+                ready, held = assembled(held), []
+            if ready is None:  # no row's hash fell into this block
+                continue
+            x, left, keys, none, ids, rids, codes = ready
+            own, q = np.frombuffer(t["rids"], "<i8"), matrix(t["data"], t["n"], t["d"])
+            probes = np.random.default_rng(7).permutation(len(x))[:PROBES]
+            for at in range(0, len(q), 64):
+                rough = scan(codes, models[t["d"]].tables(q[at : at + 64]))
+                top = [best(r, v, x, left, keys, rids, me, k, rerank, probes) for r, v, me in zip(rough, q[at : at + 64], own[at : at + 64], strict=True)]
+                i, j = np.repeat(np.arange(len(top)), [len(rows) for rows, _ in top]), np.concatenate([rows for rows, _ in top])
+                yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(rids[j]), pa.array(ids[j], mask=none[j]), pa.array(np.concatenate([score for _, score in top]))], ["query", "rid", "vec_id", "score"])
+
+    found = pairs.mapInArrow(lean(run), "query long, rid long, vec_id long, score double")
     queries = rows.where((F.col("id") % every) == 0).select(F.col("rid").alias("query"), F.col("id").alias("query_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid")
     nearest = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

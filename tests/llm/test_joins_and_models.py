@@ -177,6 +177,28 @@ def test_search_gives_ties_to_smaller_ids(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in twice.collect()) == [(20, 1, 20), (20, 1, 20), (20, 2, 3), (20, 2, 3)]
 
 
+def test_search_holds_blocks_in_small_rows(spark, monkeypatch):
+    """A block travels part by part, and several groups of queries meet it: the same rows as by looking at all."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-9, 10, size=(3000, 16)).astype(float)
+    monkeypatch.setattr(vector_search, "PART", 256)
+    monkeypatch.setattr(vector_search, "QUERIES", 40)
+    sizes = []
+    keep = vector_search.written
+    monkeypatch.setattr(vector_search, "written", lambda df, name: sizes.append((name, keep(df, name))) or sizes[-1][1])
+    got = vector_search.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    (index,) = [df for name, df in sizes if name == "index"]
+    held = [r["n"] for r in index.select("n").collect()]
+    assert sum(held) == 3000 and max(held) < 400  # one row of 3000 before
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(3000), -exact))[:20]) & set(own.vec_id))
+        assert np.allclose(exact[own.vec_id], own.score)
+    assert len(got) == 150 * 20 and hits / len(got) >= 0.99
+
+
 def lm_texts():
     rng = random.Random(7)
     words = "the of and to in a cat dog sat on mat".split()

@@ -430,6 +430,33 @@ def test_large_steps_are_dealt_to_more_tasks(spark, monkeypatch):
     assert _partitions(shared) > 4 and shared.count() == 60 * 45
 
 
+@pytest.mark.parametrize(("wide", "part"), [(64, 1024), (3, 1024), (64, 7), (3, 7)])
+def test_group_signals_of_any_size_equal_all_pairs(spark, monkeypatch, wide, part):
+    """Members of many keys, groups of many members, repeated rows, nulls: each pair once, with all keys it shares."""
+    from lexweave.operators import linkage
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(25), rng.randrange(60)) for _ in range(160)] + [(30, m) for m in range(130)] + [(k, 5) for k in range(12)] + [(k, 7) for k in range(12)]
+    rows += rows[:20] + [(None, 1), (None, 2), (3, None)]
+    monkeypatch.setattr(linkage, "WIDE", wide)
+    monkeypatch.setattr(linkage, "PART", part)
+    own = {r for r in rows if None not in r}
+    want = {}
+    for k, a in own:
+        for j, b in own:
+            if k == j and a < b:
+                want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "k long, m long")
+    pairs, skipped = linkage.group_signals(df, "k", "m")
+    got = [tuple(r) for r in pairs.collect()]
+    assert skipped is None and len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+    few, skipped = linkage.group_signals(df, "k", "m", 20)
+    sizes = {}
+    for k, m in own:
+        sizes.setdefault(k, set()).add(m)
+    assert skipped.head()[0] == sum(len(m) > 20 for m in sizes.values()) and few.agg(F.sum("shared")).head()[0] == sum(len(m) * (len(m) - 1) // 2 for m in sizes.values() if len(m) <= 20)
+
+
 def test_registry_does_not_expand_rows(spark):
     from lexweave.operators import facets
 

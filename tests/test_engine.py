@@ -457,6 +457,13 @@ def test_group_signals_of_any_size_equal_all_pairs(spark, monkeypatch, wide, par
     assert skipped.head()[0] == sum(len(m) > 20 for m in sizes.values()) and few.agg(F.sum("shared")).head()[0] == sum(len(m) * (len(m) - 1) // 2 for m in sizes.values() if len(m) <= 20)
 
 
+def test_shared_references_move_no_pairs_and_leave_no_group_out(spark, tmp_path):
+    spark.createDataFrame([(o, 1) for o in range(150)] + [(o, 2) for o in range(3)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["shared_reference_signals"](spark, str(tmp_path))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs were grouped by a shuffle before
+    assert got.count() == 150 * 149 // 2 and got.where("shared = 2").count() == 3  # groups over 100 gave none before
+
+
 def test_registry_does_not_expand_rows(spark):
     from lexweave.operators import facets
 

@@ -480,6 +480,22 @@ def test_phrases_are_counted_once(spark):
     assert "Generate" not in plan  # texts were read again for each use of the sums before
 
 
+@pytest.mark.parametrize("pool", [500_000, 320])
+def test_labels_in_rounds_are_those_of_all_candidates(spark, monkeypatch, pool):
+    """The 24 best of a community are all like another's label: it got none before."""
+    rng = random.Random(5)
+    rows = [(1, "civil war onset", 9.0)] + [(2, "civil war onset" + f" x{k}", 8.0 - k / 100) for k in range(40)] + [(2, "peace talks", 0.5)]
+    rows += [(c, " ".join(rng.sample([f"w{i}" for i in range(8)], 2)) + " z" * (k % 2), rng.randrange(9) / 10) for c in range(3, 9) for k in range(60)]
+    rows = sorted({(c, p): (c, p, s) for c, p, s in rows}.values())
+    monkeypatch.setattr(labels, "POOL", pool)
+    got = {r["community"]: r["label"] for r in labels.assign_labels(spark.createDataFrame(rows, "community long, phrase string, score double")).collect()}
+    assert got == labels.assign(rows) and got[2].startswith("peace") and got[1] == "civil war onset"
+    assert labels.assign_labels(spark.createDataFrame([], "community long, phrase string, score double")).count() == 0
+    monkeypatch.setattr(labels, "POOL", 60)  # no round can look behind the 40: an error, not a cut
+    with pytest.raises(ValueError, match="label candidates"):
+        labels.assign_labels(spark.createDataFrame(rows, "community long, phrase string, score double"))
+
+
 def test_display_names_of_odd_letters_equal_sql(spark, duck, tmp_path):
     odd = ["\x0bab c", "\xa0AB C　", "ßab ﬁne", "İSTANBUL İİİİİİ", "ŉab", "ΑΣ ΟΔΥΣΣΕΥΣ", "ᾳx", "ΐ", "ƛambda", "ab\x85c", "plain text"]
     spark.createDataFrame([(i, t) for i, t in enumerate(t for t in odd for _ in (0, 1))], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))

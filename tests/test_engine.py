@@ -480,6 +480,22 @@ def test_phrases_are_counted_once(spark):
     assert "Generate" not in plan  # texts were read again for each use of the sums before
 
 
+def test_no_candidate_is_left_out_and_slices_number_them(spark, monkeypatch):
+    from lexweave import session
+
+    notes = spark.createDataFrame([(i, "", " ".join(f"w{i}x{k}" for k in range(300))) for i in range(4)], "note_id long, title string, body string")
+    members = spark.createDataFrame([(i, i % 2) for i in range(4)], "note_id long, community int")
+    weights = labels.phrase_weights(notes, None)
+    whole = sorted(tuple(r) for r in labels.label_candidates(weights, members).collect())
+    assert len(whole) == 4 * (299 + 298 + 297)  # 512 of a note, and of these 24 of a community, before
+    for c in range(2):
+        own = sorted((r for r in whole if r[0] == c), key=lambda r: (-r[2], -r[3], r[1]))
+        assert [r[4] for r in own] == list(range(1, len(own) + 1))
+    monkeypatch.setattr(session, "ROWS", 200)
+    got = labels.label_candidates(weights, members)
+    assert sorted(tuple(r) for r in got.collect()) == whole
+
+
 @pytest.mark.parametrize("pool", [500_000, 320])
 def test_labels_in_rounds_are_those_of_all_candidates(spark, monkeypatch, pool):
     """The 24 best of a community are all like another's label: it got none before."""
